@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes of all documents."""
+    from plumbline.llm import bpe
+
+    return bpe.encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     from plumbline.llm import simhash
@@ -15,6 +22,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {}
