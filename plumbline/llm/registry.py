@@ -14,6 +14,38 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines on more than 5 % of their source's documents."""
+    from plumbline.llm import line_dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, dropped="n_dropped")
+
+
+OP4_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), totals AS (
+  SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source
+), boilerplate AS (
+  SELECT source, line FROM (SELECT DISTINCT doc_id, source, line FROM lines WHERE trim(line) <> '') JOIN totals USING (source)
+  GROUP BY source, line, n HAVING count(*) >= 5 AND count(*) > CAST(0.05 AS DOUBLE) * n
+)
+SELECT doc_id, l.source, coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text,
+  count(b.line) AS n_dropped
+FROM lines l LEFT JOIN boilerplate b ON l.source = b.source AND l.line = b.line
+GROUP BY doc_id, l.source
+"""
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, taught by the labels outside the held-out fold."""
+    from plumbline.llm import toxicity
+
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     from plumbline.llm import simhash
@@ -23,6 +55,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op4_line_dedup": op4_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_simhash": op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
