@@ -18,17 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only where neither that setting nor
-    a checkpoint folder exists (tests) is a temporary one set.
+    Only where neither that setting nor a checkpoint folder exists (tests) is a
+    temporary one set.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    context = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return found.rstrip("/")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
