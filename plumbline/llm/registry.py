@@ -142,6 +142,20 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the audio columns of all documents."""
+    from plumbline.llm import audio
+
+    return audio.audio_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned outside the held-out fold."""
+    from plumbline.llm import language
+
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, taught by the labels outside the held-out fold."""
     from plumbline.llm import toxicity
@@ -149,6 +163,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    from plumbline.llm import token_counts
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     from plumbline.llm import simhash
@@ -162,7 +183,10 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_audio": op6_audio,
+    "op7_language": op7_language,
     "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
 ORACLES: dict[str, str] = {
