@@ -1,7 +1,8 @@
 """Order, cycles and closures of foreign-key and parent graphs.
 
-Graphs of schemas are small next to the data, but nothing here needs them on the
-driver: levels and closures grow by one join a round, bounded by the number of nodes.
+Graphs of schemas are small: up to ``LOCAL_EDGES`` edges they are walked on the driver,
+which saves a job for every round.  Larger ones stay distributed: levels and closures
+grow by one join a round.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges of a graph that the driver walks itself.
+LOCAL_EDGES = 2_000
+
+
 class CycleError(ValueError):
     """The graph has a cycle where an order was asked for."""
 
@@ -21,8 +26,31 @@ def fk_edges(tables: DataFrame, fks: DataFrame) -> DataFrame:
     return edges.filter("source <> target").join(known, "target", "left_semi").select("source", "target").distinct()
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _local(edges: DataFrame, limit: int) -> dict | None:
+    """target lists by source, or None for a graph of more than ``limit`` edges."""
+    rows = edges.select("source", "target").limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    out: dict = {}
+    for s, t in rows:
+        out.setdefault(s, []).append(t)
+    return out
+
+
+def _reached(start, links: dict) -> set:
+    seen, todo = set(), list(links.get(start, ()))
+    while todo:
+        if (n := todo.pop()) not in seen:
+            seen.add(n)
+            todo += links.get(n, ())
+    return seen
+
+
+def closure(edges: DataFrame, max_rounds: int = 64, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(source, target) of all pairs joined by a path; paths double in length each round, so 64 rounds suffice for any graph."""
+    if (links := _local(edges, local_edges)) is not None:
+        schema = edges.select("source", "target").schema
+        return edges.sparkSession.createDataFrame([(s, t) for s in links for t in _reached(s, links)], schema)
     paths = edges.select("source", "target").distinct().persist()
     n = paths.count()
     for _ in range(max_rounds):
@@ -42,14 +70,29 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return closure(edges).filter("source = target").select(F.col("source").alias("node"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, node: str = "table_key") -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, node: str = "table_key", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """G1: (node, level): 0 without a target, else one more than its highest target.
 
     Ordering by level is a topological order: each target comes before its sources.
     Levels settle within as many rounds as there are nodes unless there is a cycle,
     for which CycleError is raised.
     """
-    out = nodes.select(F.col(node).alias("node"), F.lit(0).alias("level"), F.lit(True).alias("moved")).distinct().persist()
+    out = nodes.select(F.col(node).alias("node"), F.lit(0).alias("level"), F.lit(True).alias("moved")).distinct()
+    if (links := _local(edges, local_edges)) is not None:
+        if circle := sorted(s for s in links if s in _reached(s, links)):
+            raise CycleError("the foreign keys have a cycle: " + ", ".join(map(str, circle[:20])))
+        depth: dict = {}
+        for s in links:  # a node is done once all it refers to are
+            todo = [s]
+            while todo:
+                n = todo[-1]
+                if wait := [t for t in links.get(n, ()) if t not in depth]:
+                    todo += wait
+                else:
+                    depth[todo.pop()] = 1 + max((depth[t] for t in links.get(n, ())), default=-1)
+        known = edges.sparkSession.createDataFrame(list(depth.items()), "n string, found int")
+        return out.join(known, F.col("node") == F.col("n"), "left").select("node", F.coalesce("found", "level").alias("level"))
+    out = out.persist()
     edges, bound = edges.persist(), out.count()
     for _ in range(bound + 1):
         up = edges.join(out.filter("moved"), edges.target == out.node).groupBy("source").agg((F.max("level") + 1).alias("up"))
