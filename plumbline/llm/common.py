@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -50,8 +52,10 @@ def by_batch(
     """``mapInArrow`` with set-up once a task.
 
     ``make()`` runs on the executor and returns a function from a record batch
-    to columns (name -> list or Arrow array) in the order of ``schema``.
+    to columns in the order of ``schema``: Arrow arrays as they are, or lists and
+    numpy arrays that get the schema's type.
     """
+    kinds = [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
@@ -59,7 +63,9 @@ def by_batch(
         work = make()
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(work(batch))
+                columns = work(batch)
+                arrays = [v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(columns.values(), kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, list(columns))
 
     return df.mapInArrow(run, schema)
 
