@@ -172,10 +172,10 @@ def pk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.pk_changes(repo(spark), live(spark)).select("table_key", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
 
 
-def _fk_sql(strict: bool) -> str:
+def _fk_body(strict: bool) -> str:
     soft = "" if strict else """ AND NOT (kind = 'Added' AND EXISTS (SELECT 1 FROM r_fks s WHERE s.kind <> 'physical' AND lower(s.table_name) = d.table_key AND lower(s.source_field) = lower(d.source_field)
   AND lower(s.target_table) = lower(d.target_table) AND lower(s.target_field) = lower(d.target_field)))"""
-    return f"""WITH {_BOTH('fks')}, d AS (SELECT lower(coalesce(r.table_name, l.table_name)) AS table_key, coalesce(r.source_field, l.source_field) AS source_field, coalesce(r.target_table, l.target_table) AS target_table,
+    return f"""d AS (SELECT lower(coalesce(r.table_name, l.table_name)) AS table_key, coalesce(r.source_field, l.source_field) AS source_field, coalesce(r.target_table, l.target_table) AS target_table,
   coalesce(r.target_field, l.target_field) AS target_field, CASE WHEN l.table_name IS NULL THEN 'Removed' WHEN r.table_name IS NULL THEN 'Added' WHEN r.cascade_delete <> l.cascade_delete THEN 'CascadeDeleteChanged' END AS kind,
   r.cascade_delete AS a, l.cascade_delete AS b FROM (SELECT * FROM r_fks WHERE kind = 'physical') r FULL JOIN l_fks l
   ON lower(r.table_name) = lower(l.table_name) AND lower(r.source_field) = lower(l.source_field) AND lower(r.target_table) = lower(l.target_table) AND lower(r.target_field) = lower(l.target_field))
@@ -183,13 +183,13 @@ SELECT table_key, source_field, target_table, target_field, kind, CASE WHEN kind
 FROM d WHERE kind IS NOT NULL{soft}"""
 
 
-@query(_fk_sql(False))
+@query(f"WITH {_BOTH('fks')}, {_fk_body(False)}")
 def fk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys; a logical key that live has is no addition."""
     return diff.fk_changes(repo(spark).foreign_keys, live(spark).foreign_keys)
 
 
-@query(_fk_sql(True))
+@query(f"WITH {_BOTH('fks')}, {_fk_body(True)}")
 def fk_changes_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 with the stricter reading: it is one."""
     return diff.fk_changes(repo(spark).foreign_keys, live(spark).foreign_keys, strict_reference=True)
@@ -222,7 +222,20 @@ def reference_row_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.reference_row_changes(repo(spark), live(spark)).withColumn("pk", F.array_join("pk", "|"))
 
 
-@query()
+_GRAINS = f"""{_BOTH('tables', 'fields', 'pks', 'fks', 'indexes', 'data')}, {_PK_CHANGES}, {_ROW_CHANGES},
+pairs_ AS (SELECT lower(r.table_name) AS table_key, l.name IS NULL AS gone, CAST(lower(r.type) <> lower(l.type) AS INTEGER) + CAST(r.nullable <> l.nullable AS INTEGER) + CAST(r.dflt IS DISTINCT FROM l.dflt AS INTEGER)
+  + CAST(r.is_computed <> l.is_computed OR r.computed_expression IS DISTINCT FROM l.computed_expression AS INTEGER) + CAST(r.is_persisted <> l.is_persisted AS INTEGER) AS changes
+  FROM r_fields r LEFT JOIN l_fields l ON lower(r.table_name) = lower(l.table_name) AND lower(r.name) = lower(l.name) WHERE lower(r.table_name) IN (SELECT k FROM t)),
+extra AS (SELECT lower(table_name) AS table_key FROM l_fields l WHERE lower(table_name) IN (SELECT k FROM t) AND NOT EXISTS (SELECT 1 FROM r_fields r WHERE lower(r.table_name) = lower(l.table_name) AND lower(r.name) = lower(l.name))),
+fk_ AS (WITH {_fk_body(False)}),
+ix_ AS (SELECT lower(coalesce(r.table_name, l.table_name)) AS table_key FROM r_indexes r FULL JOIN l_indexes l ON lower(r.table_name) = lower(l.table_name) AND lower(r.name) = lower(l.name)
+  WHERE r.name IS NULL OR l.name IS NULL OR list_transform(r.columns, lambda x: lower(x)) <> list_transform(l.columns, lambda x: lower(x)) OR r.is_unique <> l.is_unique)"""
+
+
+@query(f"""WITH {_GRAINS}, c AS (SELECT k AS table_key, (SELECT coalesce(sum(CASE WHEN gone THEN 1 ELSE changes END), 0) FROM pairs_ p WHERE p.table_key = k) AS n_field, (SELECT count(*) FROM pk_changes p WHERE p.table_key = k) AS n_primary_key,
+  (SELECT count(*) FROM fk_ f WHERE f.table_key = k) AS n_foreign_key, (SELECT count(*) FROM ix_ i WHERE i.table_key = k) AS n_index, (SELECT count(*) FROM row_changes x WHERE x.table_key = k AND (kind <> 'Modified' OR changed_fields <> '')) AS n_row,
+  (SELECT count(*) FROM extra e WHERE e.table_key = k) AS n_extra_column FROM t)
+SELECT table_key, CAST(n_field AS BIGINT) AS n_field, n_primary_key, n_foreign_key, n_index, n_row, n_extra_column, n_field + n_primary_key + n_foreign_key + n_index + n_row > 0 AS has_drift, n_extra_column > 0 AS has_warnings FROM c""")
 def drift_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of every grain by table."""
     return diff.drift_counts(repo(spark), live(spark))
@@ -280,7 +293,13 @@ def orphaned_data_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.orphaned_data_keys(r.ref_rows, r.fields)
 
 
-@query()
+_INDEX_LISTS = "(SELECT list({'n': name, 'c': columns, 'u': is_unique} ORDER BY ordinal) FROM %s_indexes i WHERE lower(i.table_name) = k)"
+
+
+@query(f"""WITH {_GRAINS}, both_ AS (SELECT DISTINCT lower(name) AS k FROM (SELECT name FROM r_tables UNION ALL SELECT name FROM l_tables))
+SELECT k AS table_key, CASE WHEN k NOT IN (SELECT lower(name) FROM r_tables) THEN 'new' WHEN k NOT IN (SELECT lower(name) FROM l_tables) THEN 'orphan'
+  WHEN EXISTS (SELECT 1 FROM pairs_ p WHERE p.table_key = k AND changes > 0) OR EXISTS (SELECT 1 FROM extra e WHERE e.table_key = k) OR EXISTS (SELECT 1 FROM pk_changes p WHERE p.table_key = k)
+    OR EXISTS (SELECT 1 FROM fk_ f WHERE f.table_key = k) OR {_INDEX_LISTS % 'r'} IS DISTINCT FROM {_INDEX_LISTS % 'l'} THEN 'modified' ELSE 'unchanged' END AS outcome FROM both_""")
 def merge_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a merge does with each table."""
     return merge.merge_session(repo(spark), live(spark))
