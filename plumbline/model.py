@@ -9,8 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 FIELD = (
@@ -56,21 +58,26 @@ def table_document(**values) -> dict:
 
 
 def _shape(value, kind):
-    """``value`` as what createDataFrame takes for ``kind``: members by position, absent ones None."""
+    """``value`` as what Arrow takes for ``kind``: absent members null, maps as pairs."""
     name = kind.typeName()
     if value is None:
         return None
     if name == "struct":
-        return tuple(_shape(value.get(f.name), f.dataType) for f in kind.fields)
+        return {f.name: _shape(value.get(f.name), f.dataType) for f in kind.fields}
     if name == "array":
         return [_shape(v, kind.elementType) for v in value]
-    return value
+    return list(value.items()) if name == "map" else value
 
 
 def frame(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
-    """A DataFrame of documents in the given schema; members that are absent are null."""
+    """A DataFrame of documents in the given schema; members that are absent are null.
+
+    It goes through Arrow to a local relation, whose size Catalyst knows: joins with
+    metadata then broadcast by themselves.
+    """
     schema = StructType.fromDDL(ddl)
-    return spark.createDataFrame([_shape(r, schema) for r in rows], schema)
+    table = pa.Table.from_pylist([_shape(r, schema) for r in rows], to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
 
 
 def key(name: str | Column) -> Column:
