@@ -74,27 +74,34 @@ class Weights:
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, int]]) -> Weights:
-    """Weights after ``EPOCHS`` passes over (distinct features, label) in the given order."""
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    last = 1 << BITS  # the bias: no L1
+    """Weights after ``EPOCHS`` passes over (distinct features, label) in the given order.
+
+    The bias is a coordinate of its own without L1.  Features are never copied.
+    """
+    size = 1 << BITS
+    z, n = np.zeros(size), np.zeros(size)
+    bias_z = bias_n = 0.0
 
     def weight(i: np.ndarray) -> np.ndarray:
         zi = z[i]
-        shrink = np.where(i == last, 0.0, L1)
-        w = -(zi - np.sign(zi) * shrink) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
-        return np.where(np.abs(zi) <= shrink, 0.0, w)
+        w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
+        return np.where(np.abs(zi) <= L1, 0.0, w)
+
+    def bias() -> float:
+        return -bias_z / ((BETA + bias_n**0.5) / ALPHA + L2)
 
-    rows = [(np.append(f, last), y) for f, y in rows]
     for _ in range(EPOCHS):
         for i, y in rows:
-            w = weight(i)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            w, b = weight(i), bias()
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y
             step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - step * w
             n[i] += g * g
-    w = weight(np.arange(last + 1))
-    index = np.flatnonzero(w[:last])
-    return Weights(index.astype(np.int32), w[index].astype(np.float32), float(w[last]))
+            bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / ALPHA * b
+            bias_n += g * g
+    w = weight(np.arange(size))
+    index = np.flatnonzero(w)
+    return Weights(index.astype(np.int32), w[index].astype(np.float32), float(bias()))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, trainable: Column) -> list[tuple[np.ndarray, int]]:
@@ -118,10 +125,13 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: s
 
         return work
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(few, "_id").select(key.alias("key"), "_label", "_text")
-    got = by_batch(rows, make, "key long, label int, features binary").toArrow().to_pydict()
-    order = sorted(zip(got["key"], got["features"], got["label"]))
-    return [(np.frombuffer(f, "<i4"), int(y > 0)) for _, f, y in order]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(few, "_id")
+    rows = rows.select(F.xxhash64("_id", "_text").alias("key"), "_label", "_text")
+    got = by_batch(rows, make, "key long, label int, features binary").toArrow()  # ROW_FEATURES numbers a sampled row at most
+    order, labels_ = np.argsort(got.column("key").to_numpy(), kind="stable"), got.column("label").to_numpy()
+    # views of what Arrow holds: the driver keeps the sample once
+    views = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("features")]
+    return [(views[i], int(labels_[i] > 0)) for i in order]
 
 
 def add_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", score: str = "score", trainable: Column | None = None) -> DataFrame:
