@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from plumbline.llm import bpe, decontaminate, line_dedup, near_copies, simhash, toxicity
 from plumbline.llm.common import shared_folder, table
 
 
@@ -26,8 +26,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each component of SimHash links and of near copies by five-word shingles."""
+    return simhash.keep_one_of_each(docs, more=near_copies.near_links(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

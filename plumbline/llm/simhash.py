@@ -17,6 +17,8 @@ at are bounded too), and the forests are joined by ``connected_components``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,23 +38,30 @@ _CHUNK = 50_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a whole text; 0 without words."""
+def shingle_hashes(text: str | None, words_each: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles of a whole text, in parts; of all its words where it has fewer."""
     words = (text or "").encode("utf-8").lower().split()
     n = len(words)
     if n == 0:
-        return 0
-    width = min(SHINGLE_WORDS, n)
+        return
+    width = min(words_each, n)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts[: n - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(first), _CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + _CHUNK], last[at : at + _CHUNK])], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + _CHUNK], last[at : at + _CHUNK])], "<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a whole text; 0 without words."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, SHINGLE_WORDS):
+        n += len(h)
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint16)
-    bits = (2 * ones > len(first)).astype(np.uint8)
+    bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -227,7 +236,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
     return by_batch(docs.select(*keep, text), make, f"{own}{', ' if own else ''}`{name}` long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, more: DataFrame | None = None) -> DataFrame:
     """One row for each input row: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id``.
 
     component_id is the smallest id among the rows that fingerprint links reach,
@@ -235,11 +244,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     and are linked like any other; equal texts always share a component; rows
     that repeat an id each get a row; a null id gets a row and never becomes a
     component_id unless a component has no other.  Other columns are ignored.
+    ``more`` holds further links (u, v) between fingerprints.
     """
     code, least = "_code", "_least"
     rows = checkpointed(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", code, ("_id",)))
     nodes = checkpointed(rows.groupBy(code).agg(F.min("_id").alias(least)))
-    parts = connected_components(fingerprint_links(nodes, code, limit))
+    links = fingerprint_links(nodes, code, limit)
+    parts = connected_components(links if more is None else links.unionAll(more))
     parts = nodes.join(parts, nodes[code] == parts.node).select(code, "root", least)
     groups = checkpointed(parts)
     lowest = groups.groupBy("root").agg(F.min(least).alias("_low")).withColumnRenamed("root", "_root")
@@ -253,13 +264,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int = MAX_DISTANCE, more: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of its component_id.
 
     All columns stay.  Rows that repeat an id count as copies of each other, so
     one stays; rows with a null id have no name to be dropped by and stay.
     """
-    found = checkpointed(simhash_components(docs, id_col, text, limit))
+    found = checkpointed(simhash_components(docs, id_col, text, limit, more))
     gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     left = docs.join(gone, docs[id_col] == gone._gone, "left_anti")
     again = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_again"))
