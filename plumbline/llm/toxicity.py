@@ -25,8 +25,6 @@ from plumbline.llm.common import by_batch, ddl, fold_of, fresh
 
 #: Bound of the expected number of labelled rows that a model is fitted on.
 SAMPLE_ROWS = 12_000
-#: Bound of the distinct features of one labelled row that fitting uses; the least hashes stay.
-ROW_FEATURES = 1 << 16
 BITS = 20
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 1.0, 3
 HELD_OUT_FOLDS, HELD_OUT = 5, 0
@@ -59,6 +57,20 @@ def features(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.concatenate(parts).astype(np.int32)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """All of a row's ascending distinct features: 4 bytes each, or 2**BITS bits where that is less."""
+    if 32 * len(found) < 1 << BITS:
+        return found.astype("<i4").tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[found] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(row: np.ndarray) -> np.ndarray:
+    """The features of a row of bits (uint8); other rows as they are."""
+    return np.flatnonzero(np.unpackbits(row)) if row.dtype == np.uint8 else row
+
+
 @dataclass(frozen=True)
 class Weights:
     """Non-zero weights by ascending feature."""
@@ -76,7 +88,7 @@ class Weights:
 def fit_ftrl(rows: list[tuple[np.ndarray, int]]) -> Weights:
     """Weights after ``EPOCHS`` passes over (distinct features, label) in the given order.
 
-    The bias is a coordinate of its own without L1.  Features are never copied.
+    The bias is a coordinate of its own without L1.  Rows of bits are unpacked one at a time; others are never copied.
     """
     size = 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
@@ -91,7 +103,8 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]]) -> Weights:
         return -bias_z / ((BETA + bias_n**0.5) / ALPHA + L2)
 
     for _ in range(EPOCHS):
-        for i, y in rows:
+        for row, y in rows:
+            i = unpacked(row)
             w, b = weight(i), bias()
             g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y
             step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
@@ -120,17 +133,17 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: s
         hashes = WordHashes()
 
         def work(batch: pa.RecordBatch) -> dict:
-            found = [np.unique(features(x.as_py(), hashes))[:ROW_FEATURES].astype("<i4").tobytes() for x in batch.column(2)]
+            found = [packed(np.unique(features(x.as_py(), hashes))) for x in batch.column(2)]
             return {"key": batch.column(0), "label": batch.column(1), "features": found}
 
         return work
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(few, "_id")
     rows = rows.select(F.xxhash64("_id", "_text").alias("key"), "_label", "_text")
-    got = by_batch(rows, make, "key long, label int, features binary").toArrow()  # ROW_FEATURES numbers a sampled row at most
+    got = by_batch(rows, make, "key long, label int, features binary").toArrow()  # 2**BITS bits a sampled row at most
     order, labels_ = np.argsort(got.column("key").to_numpy(), kind="stable"), got.column("label").to_numpy()
     # views of what Arrow holds: the driver keeps the sample once
-    views = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("features")]
+    views = [np.frombuffer(b, "u1" if b.size == 1 << (BITS - 3) else "<i4") for x in got.column("features") for b in [x.as_buffer()]]
     return [(views[i], int(labels_[i] > 0)) for i in order]
 
 

@@ -64,3 +64,14 @@ def test_l1_leaves_few_weights():
     rows = [(np.unique(np.append(rng.integers(0, 5000, 50), 9000 if y else 1)), y) for y in rng.integers(0, 2, 400).tolist()]
     weights = toxicity.fit_ftrl(rows)
     assert 9000 in weights.index and len(weights.index) < 500
+
+
+def test_a_very_long_row_teaches_all_its_features(spark, docs, monkeypatch):
+    text, fitted, fit = " ".join(f"w{i}" for i in range(30_000)), [], toxicity.fit_ftrl
+    monkeypatch.setattr(toxicity, "fit_ftrl", lambda rows: fitted.append(fit(rows)) or fitted[0])
+    labels = [(i, 1, 1) for i in range(60)]
+    toxicity.add_scores(docs([(i, text, "en", "a") for i, _, _ in labels]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    own = np.unique(toxicity.features(text, toxicity.WordHashes()))
+    taught = sum(crc32(str(i).encode()) % 5 != 0 for i, _, _ in labels)
+    assert len(own) > 1 << 16 and np.array_equal(fitted[0].index, own)
+    assert np.array_equal(fitted[0].value, fit([(own, 1)] * taught).value)
