@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +40,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of a shingle set that isn't empty."""
+def band_keys(text: str | None) -> np.ndarray:
+    """A key for each band of a text; none without words."""
     least = np.full(len(_FACTORS), 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), _PART):
-        part = shingles[at : at + _PART]
-        np.minimum(least, np.multiply.outer(_FACTORS, part).min(axis=1), out=least)
+    n = 0
+    for shingles in shingle_hashes(text, WORDS):
+        n += len(shingles)
+        for at in range(0, len(shingles), _PART):
+            np.minimum(least, np.multiply.outer(_FACTORS, shingles[at : at + _PART]).min(axis=1), out=least)
+    if not n:
+        return np.empty(0, np.int64)
     rows = least.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
@@ -56,20 +59,8 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _keys(batch: pa.RecordBatch) -> dict:
-    node, key = [], []
-    for text in batch.column(0):
-        s = shingle_set(text.as_py())
-        if len(s):
-            own = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
-            node.append(np.full(BANDS, own, np.int64))
-            key.append(band_keys(s))
-    empty = [np.empty(0, np.int64)]
-    return {"key": np.concatenate(key or empty), "node": np.concatenate(node or empty)}
-
-
-def _named(batch: pa.RecordBatch) -> dict:
-    sets = [shingle_set(x.as_py()) for x in batch.column(0)]
-    return {"node": [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], "text": batch.column(0)}
+    keys = [band_keys(x.as_py()) for x in batch.column(1)]
+    return {"key": np.concatenate(keys), "node": np.repeat(batch.column(0).to_numpy(), list(map(len, keys)))}
 
 
 def _meetings(batch: pa.RecordBatch) -> dict:
@@ -94,15 +85,15 @@ def _confirmed(batch: pa.RecordBatch) -> dict:
 
 def near_links(docs: DataFrame, text: str = "text") -> DataFrame:
     """Links (u, v) between the fingerprints of texts that are near copies of each other."""
-    texts = docs.select(F.col(f"`{text}`").alias("text"))
+    own = F.col(f"`{text}`")
+    texts = docs.filter(own.isNotNull()).select(F.xxhash64(own).alias("node"), own.alias("text"))
     keys = by_batch(texts, lambda: _keys, "key long, node long")
     groups = keys.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).filter(F.size("nodes") > 1)
     pairs = checkpointed(by_batch(groups.select("nodes"), lambda: _meetings, "a long, b long").distinct())
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "u long, v long")
     met = pairs.select(F.col("a").alias("met")).unionAll(pairs.select(F.col("b").alias("met"))).distinct()
-    named = by_batch(texts, lambda: _named, "node long, text string")
-    named = checkpointed(named.join(met, named.node == met.met, "left_semi").dropDuplicates(["node"]))
+    named = checkpointed(texts.join(met, texts.node == met.met, "left_semi").dropDuplicates(["node"]))
     left, right = (named.select(F.col("node").alias(f"{x}_node"), F.col("text").alias(f"{x}_text")) for x in "ab")
     both = pairs.join(left, pairs.a == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
     return by_batch(both.select("a_text", "b_text"), lambda: _confirmed, "u long, v long")
