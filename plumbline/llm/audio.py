@@ -136,10 +136,11 @@ def clip_features(media: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return mel, segments(mel.mean(axis=1))
 
 
-def feature_digest(mel: np.ndarray, found: list[tuple[int, int]]) -> str:
-    """Short text of a clip's features: frames, segments, frames of sound, and mean mel bands in tenths of a decibel."""
+def feature_digest(mel: np.ndarray, found: list[tuple[int, int]], tensors: pa.RecordBatch, stream: bytes) -> str:
+    """Short text of a clip's features: frames, segments, frames of sound in its tensors, mean mel bands in tenths of a decibel, tensors and CRC-32 of their stream."""
     bands = np.rint(mel.mean(axis=0, dtype=np.float64) * 10).astype(int)
-    return f"{len(mel)}:{len(found)}:{sum(b - a for a, b in found)}:" + ",".join(map(str, bands.tolist()))
+    sound = int(tensors.column("frames").to_numpy().sum())
+    return f"{len(mel)}:{len(found)}:{sound}:" + ",".join(map(str, bands.tolist())) + f":{tensors.num_rows}:{crc32(stream):08x}"
 
 
 def segment_tensors(mel: np.ndarray, found: list[tuple[int, int]], rate: int = RATE) -> pa.RecordBatch:
@@ -172,6 +173,16 @@ def to_ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def stored_clip(payload: bytes) -> tuple[bytes, bytes, list[dict], str]:
+    """(media, tensors, spans, feature) of a payload, as ``audio_columns`` and ``audio_digests`` both have them."""
+    media = to_wav(payload)
+    mel, found = clip_features(media)
+    tensors = segment_tensors(mel, found)
+    stream = to_ipc(tensors)
+    spans = [{"begin_s": a, "end_s": b} for a, b in zip(tensors.column("begin_s").to_pylist(), tensors.column("end_s").to_pylist())]
+    return media, stream, spans, feature_digest(mel, found, tensors, stream)
+
+
 def audio_columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col``, ``media`` (WAV bytes), ``tensors`` (Arrow stream of ``segment_tensors``) and ``spans`` of every row.
 
@@ -182,11 +193,10 @@ def audio_columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
         def work(batch: pa.RecordBatch) -> dict:
             out: dict = {"id": batch.column(0), "media": [], "tensors": [], "spans": []}
             for x in batch.column(1):
-                media = to_wav(payload_of(x.as_py())[0])
-                tensors = segment_tensors(*clip_features(media))
+                media, tensors, spans, _ = stored_clip(payload_of(x.as_py())[0])
                 out["media"].append(media)
-                out["tensors"].append(to_ipc(tensors))
-                out["spans"].append([{"begin_s": a, "end_s": b} for a, b in zip(tensors.column("begin_s").to_pylist(), tensors.column("end_s").to_pylist())])
+                out["tensors"].append(tensors)
+                out["spans"].append(spans)
             out["spans"] = pa.array(out["spans"], pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())])))
             return out
 
@@ -202,7 +212,8 @@ def audio_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
     n_bytes (before padding), payload_bytes, payload_sha256 and tail_crc32 (last 32
     bytes) of the payload as read back from the stored form, media_bytes and
-    media_sha256 of that form, and ``feature``.
+    media_sha256 of that form, and ``feature``, which ends in the number of tensors
+    and the CRC-32 of their stream.
     """
 
     def make():
@@ -210,10 +221,9 @@ def audio_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
             out: dict[str, list] = {k: [] for k in "abcdefg"}
             for x in batch.column(1):
                 payload, n = payload_of(x.as_py())
-                media = to_wav(payload)
+                media, _, _, feature = stored_clip(payload)
                 back = from_wav(media)[0]
-                mel, found = clip_features(media)
-                values = (n, len(back), hashlib.sha256(back).hexdigest(), crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(mel, found))
+                values = (n, len(back), hashlib.sha256(back).hexdigest(), crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
                 for k, v in zip("abcdefg", values):
                     out[k].append(v)
             return {"id": batch.column(0)} | out

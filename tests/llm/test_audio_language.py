@@ -91,6 +91,16 @@ def test_audio_digests(awkward, docs):
     assert len(got) == awkward.count() and audio.audio_digests(docs([])).isEmpty()
 
 
+def test_audio_digests_tell_of_the_stored_tensors(docs):
+    rng = random.Random(6)
+    frame = docs([(i, " ".join(rng.choice(["lorem", "IPSUM!!", "dolor\n\n", "sit"]) for _ in range(i * 60)), "en", "a") for i in range(12)])
+    stored = {r["doc_id"]: bytes(r["tensors"]) for r in audio.audio_columns(frame).collect()}
+    for r in audio.audio_digests(frame).collect():
+        tensors = pa.ipc.open_stream(stored[r["doc_id"]]).read_all()
+        assert r["feature"].split(":")[4:] == [str(tensors.num_rows), f"{crc32(stored[r['doc_id']]):08x}"]
+        assert int(r["feature"].split(":")[2]) == sum(tensors.column("frames").to_pylist())
+
+
 WORDS = {"en": "the of and that with from this have they which".split(), "de": "der die und nicht mit auch für sich schön ein".split(), "fr": "les des une été très avec pour dans être où".split()}
 
 
