@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,7 @@ from plumbline.functions.text import iso_timestamp
 from plumbline.operators.filters import reference_tables
 
 MAX_ROWS, MAX_KB = 100, 1024
+log = logging.getLogger(__name__)
 
 
 def json_value(name: str, kind: T.DataType) -> Column:
@@ -63,12 +67,30 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def enrich(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], explicit: Sequence[str] = (), globs: Sequence[str] = ("*",), max_rows: int = MAX_ROWS, max_kb: int = MAX_KB) -> DataFrame:
     """(name, row_index, json) of the detected reference tables, counts and sizes gated.
 
-    A table without a key is taken in the order of all its columns.
+    A table without a key is taken in the order of all its columns.  What can't be read
+    degrades: a table whose count fails counts as one of unknown size, one whose rows
+    fail is left out; both are logged.
     """
     from plumbline.model import union_all
 
-    counts = table_counts(tables)
-    found = reference_tables(counts, counts, explicit, globs, max_rows).filter("is_reference")
-    chosen = [r["name"] for r in found.select("name").collect()]  # one row a table
-    parts = [capture_rows(tables[n], keys.get(n) or tables[n].columns, max_kb).select(F.lit(n).alias("name"), "*") for n in sorted(chosen)]
-    return union_all(parts) if parts else counts.sparkSession.createDataFrame([], "name string, row_index int, json string")
+    spark = next(iter(tables.values())).sparkSession if tables else None
+    if spark is None:
+        raise ValueError("no tables")
+    names = spark.createDataFrame([(n,) for n in tables], "name string")
+    counts = spark.createDataFrame([(n, _degraded(f"count of {n}", tables[n].count)) for n in tables], "name string, n_rows long")
+    found = reference_tables(names, counts, explicit, globs, max_rows).filter("is_reference")
+    parts = []
+    for n in sorted(r["name"] for r in found.select("name").collect()):  # one row a table
+        read = lambda n=n: capture_rows(tables[n], keys.get(n) or tables[n].columns, max_kb).collect()  # noqa: E731  max_kb at most
+        if rows := _degraded(f"rows of {n}", read):
+            parts.append(spark.createDataFrame([(n, r["row_index"], r["json"]) for r in rows], "name string, row_index int, json string"))
+    return union_all(parts) if parts else spark.createDataFrame([], "name string, row_index int, json string")
+
+
+def _degraded(what: str, read: Callable[[], object]) -> object:
+    """What ``read`` gives, or None with a warning where Spark can't read it."""
+    try:
+        return read()
+    except (PySparkException, Py4JError) as e:
+        log.warning("%s: %s", what, str(e).partition("\n")[0])
+        return None

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.shared import checkpointed
 
 #: Edges of a graph that the driver walks itself.
 LOCAL_EDGES = 2_000
@@ -51,15 +52,12 @@ def closure(edges: DataFrame, max_rounds: int = 64, local_edges: int = LOCAL_EDG
     if (links := _local(edges, local_edges)) is not None:
         schema = edges.select("source", "target").schema
         return edges.sparkSession.createDataFrame([(s, t) for s in links for t in _reached(s, links)], schema)
-    paths = edges.select("source", "target").distinct().persist()
+    paths = checkpointed(edges.select("source", "target").distinct())
     n = paths.count()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds):  # each round's plan starts from the last one's files
         step = paths.alias("a").join(paths.alias("b"), F.col("a.target") == F.col("b.source")).select(F.col("a.source").alias("source"), F.col("b.target").alias("target"))
-        longer = paths.union(step).distinct().persist()
-        grown = longer.count()
-        paths.unpersist()
-        paths = longer
-        if grown == n:
+        paths = checkpointed(paths.union(step).distinct())
+        if (grown := paths.count()) == n:
             break
         n = grown
     return paths
@@ -92,13 +90,13 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "table_key", local_ed
                     depth[todo.pop()] = 1 + max((depth[t] for t in links.get(n, ())), default=-1)
         known = edges.sparkSession.createDataFrame(list(depth.items()), "n string, found int")
         return out.join(known, F.col("node") == F.col("n"), "left").select("node", F.coalesce("found", "level").alias("level"))
-    out = out.persist()
-    edges, bound = edges.persist(), out.count()
+    out = checkpointed(out)
+    edges, bound = checkpointed(edges), out.count()
     for _ in range(bound + 1):
         up = edges.join(out.filter("moved"), edges.target == out.node).groupBy("source").agg((F.max("level") + 1).alias("up"))
         joined = out.join(up, out.node == up.source, "left")
         higher = F.coalesce(F.col("up") > F.col("level"), F.lit(False))
-        better = joined.select("node", F.when(higher, F.col("up")).otherwise(F.col("level")).alias("level"), higher.alias("moved")).persist()
+        better = checkpointed(joined.select("node", F.when(higher, F.col("up")).otherwise(F.col("level")).alias("level"), higher.alias("moved")))
         if better.filter("moved").isEmpty():
             return better.select("node", "level")
         out = better

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.model import Registry
-from plumbline.operators.diff import FK_KEY, _matched_tables, _sides, field_changes, fk_changes, fk_keyed, pk_changes
+from plumbline.operators.diff import FK_KEY, _matched_tables, _sides, field_changes, fk_keyed, pk_changes
 
 LIVE_OWNED = ("type", "nullable", "default", "is_computed", "computed_expression", "is_persisted")
 REPO_OWNED = ("description", "is_match_column", "is_deprecated", "deprecation_message", "sensitivity", "description_auto_generated")
@@ -63,6 +63,19 @@ def merge_fks(repo: DataFrame, live: DataFrame) -> DataFrame:
     return merged.withColumn("ordinal", place).drop("_new", "_at")
 
 
+def merge_fk_changes(repo: DataFrame, live: DataFrame) -> DataFrame:
+    """(table_key, source_field, target_table, target_field, change): what a merge changes in foreign keys of any kind.
+
+    Added (live only), Removed (physical ones that live lacks) and CascadeDeleteChanged.
+    """
+    both = _sides(fk_keyed(repo), fk_keyed(live), FK_KEY)
+    in_repo, in_live = F.col("r.table_key").isNotNull(), F.col("l.table_key").isNotNull()
+    gone = ~in_live & (F.lower("r.kind") == "physical")
+    change = F.when(~in_repo, "Added").when(gone, "Removed").when(in_live & (F.col("r.cascade_delete") != F.col("l.cascade_delete")), "CascadeDeleteChanged")
+    names = ("table_key", "source_field", "target_table", "target_field")
+    return both.select(*[F.coalesce(f"r.{c}", f"l.{c}").alias(c) for c in names], change.alias("change")).filter("change is not null")
+
+
 def orphaned_data_keys(ref_rows: DataFrame, fields: DataFrame) -> DataFrame:
     """(table_key, data_key) of row members that no field has; the first spelling of each."""
     keys = ref_rows.select("table_key", "row_index", F.posexplode(F.map_keys("row")).alias("at", "data_key")).withColumn("field_key", F.lower("data_key"))
@@ -103,7 +116,7 @@ def merge_session(repo: Registry, live: Registry, remove_deleted: bool = False,
     changed = field_changes(repo.fields, live.fields).filter("kind <> 'Removed'" if not remove_deleted else "true").select("table_key")
     added = merge_fields(repo.fields, live.fields, live.primary_keys).filter("state = 'added'").select("table_key")
     keys = pk_changes(repo, live).select("table_key")
-    fks = fk_changes(repo.foreign_keys, live.foreign_keys, strict_reference=False).select("table_key")
+    fks = merge_fk_changes(repo.foreign_keys, live.foreign_keys).select("table_key")
     changed = changed.union(added).union(keys).union(fks)
     if not strict_reference:
         a = repo.tables.select("table_key", F.struct("indexes", "check_constraints", "unique_constraints").alias("a"))

@@ -100,8 +100,8 @@ def data_rules(r: Registry) -> list[DataFrame]:
     """
     from plumbline.operators.diff import ordered_names
 
-    rows = r.ref_rows.filter("is_reference_table")
     names = ordered_names(r.fields, "names")
+    rows = r.ref_rows.filter("is_reference_table").join(names.select("table_key"), "table_key", "left_semi")  # no fields: no further rules
     pk = ordered_names(r.primary_keys, "pk_columns")
     own = rows.join(names, "table_key")
     lower = F.transform("names", lambda x: F.lower(x))
@@ -128,8 +128,9 @@ def _token_text(token: Column) -> Column:
 
 
 def section_rule(r: Registry, known: Sequence[str]) -> DataFrame:
-    """SECTION-UNDEFINED in its form for one table, against a given set of sections."""
-    lost = r.table_sections.filter(~F.col("section_key").isin([k.lower() for k in known]) if known else F.lit(True))
+    """SECTION-UNDEFINED in its form for one table (with fields), against a given set of sections."""
+    filled = r.fields.select("table_key").distinct()
+    lost = r.table_sections.filter(~F.col("section_key").isin([k.lower() for k in known]) if known else F.lit(True)).join(filled, "table_key", "left_semi")
     return _issues(lost, "Warning", "SECTION-UNDEFINED", _text("Section '{}' is not defined in configuration", "section"))
 
 
@@ -208,22 +209,36 @@ def duplicate_occurrences(rows: DataFrame, keys: Sequence[str], order: Sequence[
     return rows.withColumn("occurrence", nth).filter("occurrence > 1")
 
 
-def unordered_rows(rows: DataFrame, position: str, keys: Sequence[str], span: int = 1_000_000) -> DataFrame:
+def unordered_rows(rows: DataFrame, position: str, keys: Sequence[str], span: int = 65_536) -> DataFrame:
     """Rows whose key, as text, is less than that of the row before by a numeric position.
 
     The list is cut into spans of positions, each ordered by one task; the last key of
     a span (one row each) is handed on to the first row of the next span that has rows.
+    Rows at one position are ordered by their key, so they are never out of order among
+    themselves; a null key column comes first; rows without a position aren't in the list.
     """
     text = F.array(*[F.col(k).cast("string") for k in keys])
-    cut = rows.withColumn("_span", F.floor(F.col(position) / span)).withColumn("_key", text)
-    inside = F.lag("_key").over(Window.partitionBy("_span").orderBy(position))
-    ends = cut.groupBy("_span").agg(F.max_by("_key", position).alias("_last"), F.min(position).alias("_first"))
-    ends = ends.select("_span", "_first", F.lag("_last").over(Window.orderBy("_span")).alias("_handed"))  # one row a span
-    joined = cut.withColumn("_inside", inside).join(ends, "_span")
-    before = F.when(F.col(position) == F.col("_first"), F.col("_handed")).otherwise(F.col("_inside"))
+    cut = rows.filter(F.col(position).isNotNull()).withColumn("_span", F.floor(F.col(position) / span)).withColumn("_key", text)
+    own = Window.partitionBy("_span").orderBy(position, "_key")
+    ends = cut.groupBy("_span").agg(F.max(F.struct(position, "_key"))["_key"].alias("_last"))
+    ends = ends.select("_span", F.lag("_last").over(Window.orderBy("_span")).alias("_handed"))  # one row a span
+    joined = cut.withColumns({"_inside": F.lag("_key").over(own), "_nth": F.row_number().over(own)}).join(ends, "_span")
+    before = F.when(F.col("_nth") == 1, F.col("_handed")).otherwise(F.col("_inside"))
     return joined.filter(before > F.col("_key")).select(*rows.columns)
 
 
+def member_problems(rows: DataFrame, json: str, expected: Column, *keep: str) -> DataFrame:
+    """J17 over data: (keep..., problem, col) of the members of JSON objects against a list of expected names.
+
+    ``unknown`` members aren't expected, ``missing`` ones aren't there; a null or broken
+    object lacks them all.
+    """
+    found = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    told = lambda names, problem: F.transform(names, lambda x: F.struct(F.lit(problem).alias("problem"), x.alias("col")))
+    both = F.concat(told(F.array_except(found, expected), "unknown"), told(F.array_except(expected, found), "missing"))
+    return rows.select(*keep, F.explode(both).alias("x")).select(*keep, "x.*")
+
+
 def missing_targets(rows: DataFrame, column: str, targets: DataFrame, target: str) -> DataFrame:
     """J9 over data: rows whose non-null reference has no target row."""
     return rows.filter(F.col(column).isNotNull()).join(targets.select(F.col(target).alias(column)), column, "left_anti")

@@ -296,10 +296,22 @@ def orphaned_data_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEX_LISTS = "(SELECT list({'n': name, 'c': columns, 'u': is_unique} ORDER BY ordinal) FROM %s_indexes i WHERE lower(i.table_name) = k)"
 
 
-@query(f"""WITH {_GRAINS}, both_ AS (SELECT DISTINCT lower(name) AS k FROM (SELECT name FROM r_tables UNION ALL SELECT name FROM l_tables))
+_MERGE_FKS = """mfk_ AS (SELECT lower(coalesce(r.table_name, l.table_name)) AS table_key, coalesce(r.source_field, l.source_field) AS source_field, coalesce(r.target_table, l.target_table) AS target_table, coalesce(r.target_field, l.target_field) AS target_field,
+  CASE WHEN r.table_name IS NULL THEN 'Added' WHEN l.table_name IS NULL AND r.kind = 'physical' THEN 'Removed' WHEN r.cascade_delete <> l.cascade_delete THEN 'CascadeDeleteChanged' END AS change
+  FROM r_fks r FULL JOIN l_fks l ON lower(r.table_name) = lower(l.table_name) AND lower(r.source_field) = lower(l.source_field) AND lower(r.target_table) = lower(l.target_table) AND lower(r.target_field) = lower(l.target_field)
+  WHERE r.table_name IS NULL OR l.table_name IS NULL AND r.kind = 'physical' OR r.cascade_delete <> l.cascade_delete)"""
+
+
+@query(f"WITH {_BOTH('fks')}, {_MERGE_FKS} SELECT * FROM mfk_")
+def merge_fk_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a merge changes in foreign keys of any kind."""
+    return merge.merge_fk_changes(repo(spark).foreign_keys, live(spark).foreign_keys)
+
+
+@query(f"""WITH {_GRAINS}, {_MERGE_FKS}, both_ AS (SELECT DISTINCT lower(name) AS k FROM (SELECT name FROM r_tables UNION ALL SELECT name FROM l_tables))
 SELECT k AS table_key, CASE WHEN k NOT IN (SELECT lower(name) FROM r_tables) THEN 'new' WHEN k NOT IN (SELECT lower(name) FROM l_tables) THEN 'orphan'
   WHEN EXISTS (SELECT 1 FROM pairs_ p WHERE p.table_key = k AND changes > 0) OR EXISTS (SELECT 1 FROM extra e WHERE e.table_key = k) OR EXISTS (SELECT 1 FROM pk_changes p WHERE p.table_key = k)
-    OR EXISTS (SELECT 1 FROM fk_ f WHERE f.table_key = k) OR {_INDEX_LISTS % 'r'} IS DISTINCT FROM {_INDEX_LISTS % 'l'} THEN 'modified' ELSE 'unchanged' END AS outcome FROM both_""")
+    OR EXISTS (SELECT 1 FROM mfk_ f WHERE f.table_key = k) OR {_INDEX_LISTS % 'r'} IS DISTINCT FROM {_INDEX_LISTS % 'l'} THEN 'modified' ELSE 'unchanged' END AS outcome FROM both_""")
 def merge_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a merge does with each table."""
     return merge.merge_session(repo(spark), live(spark))
@@ -349,21 +361,20 @@ def fk_dangling_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.missing_targets(c, "c_nationkey", read(spark, sf_dir, "nation"), "n_nationkey").select("c_custkey", "c_nationkey")
 
 
-@query("""WITH k AS (SELECT event_id, unnest(json_keys(props)) AS k FROM events)
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'missing' ELSE 'unknown' END AS problem, CASE WHEN event_id % 3 = 0 THEN 'n' ELSE 'k' END AS col FROM k WHERE event_id % 3 < 2""")
+@query("""WITH e AS (SELECT event_id, json_keys(props) AS ks, CASE event_id % 3 WHEN 0 THEN ['k', 'n'] WHEN 1 THEN ['v'] ELSE ['k'] END AS fields FROM events)
+SELECT event_id, 'unknown' AS problem, unnest(list_filter(ks, lambda x: NOT list_contains(fields, x))) AS col FROM e
+UNION ALL SELECT event_id, 'missing', unnest(list_filter(fields, lambda x: NOT list_contains(ks, x))) FROM e""")
 def data_unknown_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of JSON rows against the fields each kind of row should have."""
-    rows = read(spark, sf_dir, "events").select("event_id", F.json_object_keys("props").alias("ks"), F.expr("case event_id % 3 when 0 then array('k', 'n') when 1 then array('v') else array('k') end").alias("fields"))
-    unknown, missing = F.array_except("ks", "fields"), F.filter(F.array_except("fields", "ks"), lambda x: x != "v")
-    found = rows.select("event_id", F.explode(F.concat(F.transform(unknown, lambda x: F.struct(F.lit("unknown").alias("problem"), x.alias("col"))), F.transform(missing, lambda x: F.struct(F.lit("missing").alias("problem"), x.alias("col"))))).alias("x"))
-    return found.select("event_id", "x.*")
+    expected = F.expr("case event_id % 3 when 0 then array('k', 'n') when 1 then array('v') else array('k') end")
+    return validate.member_problems(read(spark, sf_dir, "events"), "props", expected, "event_id")
 
 
 # Validation rules
 
 _RULES = D.ctes("", D.rule_documents(), "tables", "fields", "pks", "fks", "sets", "checks", "uniques", "memberships", "data")
 _TABLE_RULES = f"""WITH {_RULES}, filled AS (SELECT DISTINCT table_name FROM fields), ref AS (SELECT name AS table_name FROM tables WHERE is_reference_table),
-rows_ AS (SELECT DISTINCT d.table_name, row_index FROM data d JOIN ref USING (table_name)),
+rows_ AS (SELECT DISTINCT d.table_name, row_index FROM data d JOIN ref USING (table_name) JOIN filled USING (table_name)),
 keyed AS (SELECT r.table_name, r.row_index, list(coalesce(CASE WHEN d.v LIKE '"%' THEN d.v[2:-2] ELSE d.v END, '') ORDER BY p.ordinal) AS pk FROM rows_ r JOIN pks p USING (table_name) LEFT JOIN data d ON d.table_name = r.table_name AND d.row_index = r.row_index AND d.k = p.name GROUP BY ALL)
 SELECT 'Error' AS severity, 'TABLE-NAME-MISSING' AS code, name AS table_name, NULL AS field FROM tables WHERE trim(name) = ''
 UNION ALL SELECT 'Error', 'TABLE-FIELDS-EMPTY', name, NULL FROM tables WHERE n_fields = 0
@@ -382,7 +393,7 @@ UNION ALL SELECT 'Error', 'SENS-INVALID-VALUE', table_name, name FROM fields WHE
 UNION ALL SELECT 'Warning', 'SENS-PII-NO-DESCRIPTION', table_name, name FROM fields WHERE lower(sensitivity) = 'pii' AND trim(coalesce(description, '')) = ''
 UNION ALL SELECT 'Warning', 'CHECK-COLUMN-MISSING', table_name, col FROM checks c JOIN filled USING (table_name) WHERE col IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fields f WHERE f.table_name = c.table_name AND lower(f.name) = lower(col))
 UNION ALL SELECT 'Warning', 'UNIQUE-COLUMN-MISSING', table_name, col FROM uniques u JOIN filled USING (table_name) WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.table_name = u.table_name AND lower(f.name) = lower(col))
-UNION ALL SELECT 'Error', 'DATA-UNKNOWN-COLUMN', table_name, k FROM data d JOIN ref USING (table_name) WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.table_name = d.table_name AND lower(f.name) = lower(k))
+UNION ALL SELECT 'Error', 'DATA-UNKNOWN-COLUMN', table_name, k FROM data d JOIN ref USING (table_name) JOIN filled USING (table_name) WHERE NOT EXISTS (SELECT 1 FROM fields f WHERE f.table_name = d.table_name AND lower(f.name) = lower(k))
 UNION ALL SELECT 'Error', 'DATA-MISSING-COLUMN', r.table_name, f.name FROM rows_ r JOIN fields f USING (table_name) WHERE NOT EXISTS (SELECT 1 FROM data d WHERE d.table_name = r.table_name AND d.row_index = r.row_index AND d.k = f.name)
 UNION ALL SELECT 'Error', 'DATA-DUPLICATE-PK', table_name, NULL FROM (SELECT table_name, row_number() OVER (PARTITION BY table_name, pk ORDER BY row_index) AS n FROM keyed) WHERE n > 1
 UNION ALL SELECT DISTINCT 'Warning', 'DATA-UNORDERED', table_name, NULL FROM (SELECT table_name, pk, lag(pk) OVER (PARTITION BY table_name ORDER BY row_index) AS before FROM keyed) WHERE before > pk"""
@@ -394,6 +405,13 @@ def validate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate_tables(rules(spark)).select("severity", "code", "table_name", "field")
 
 
+@query(f"WITH {_RULES}, filled AS (SELECT DISTINCT table_name FROM fields) SELECT 'Warning' AS severity, 'SECTION-UNDEFINED' AS code, table_name, section FROM memberships JOIN filled USING (table_name) WHERE lower(section) NOT IN ('core', 'lookup')")
+def section_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section 2.11: sections of single tables that a given list doesn't know; tables without fields are passed over."""
+    found = validate.validate_tables(rules(spark), ["Core", "LOOKUP"]).filter("code = 'SECTION-UNDEFINED'")
+    return found.select("severity", "code", "table_name", F.regexp_extract("message", "'([^']*)'", 1).alias("section"))
+
+
 @query(f"SELECT count(*) FILTER (WHERE severity = 'Error') AS errors, count(*) FILTER (WHERE severity = 'Warning') AS warnings, bool_or(severity = 'Error') AS has_errors, bool_or(severity = 'Warning') AS has_warnings FROM ({_TABLE_RULES})")
 def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: issues by severity."""
@@ -423,12 +441,13 @@ def validate_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate_cross(rules(spark)).select("severity", "code", "table_name", "field")
 
 
-_TYPE_CTE = D.cte("ttypes", "type VARCHAR, root BOOLEAN, allowed VARCHAR[], required VARCHAR[]", [tuple(t.values()) for t in D.TENANT_TYPES])
+_type_cte = lambda types: D.cte("ttypes", "type VARCHAR, root BOOLEAN, allowed VARCHAR[], required VARCHAR[]", [tuple(t.values()) for t in types])
 _DB_CTE = D.cte("dbs", "name VARCHAR, type VARCHAR, parent VARCHAR, installed VARCHAR[]", [tuple(t.values()) for t in D.TENANT_DATABASES])
 _WALK = "walk(node, up, depth) AS (SELECT lower(name), lower(parent), 1 FROM dbs WHERE parent IS NOT NULL UNION SELECT w.node, lower(d.parent), depth + 1 FROM walk w JOIN dbs d ON lower(d.name) = w.up WHERE d.parent IS NOT NULL AND depth < 12)"
 
 
-@query(f"""WITH RECURSIVE {_TYPE_CTE}, {_DB_CTE}, {_SECTION_CTE}, {_WALK},
+def _tenants_sql(types: list[dict]) -> str:
+    return f"""WITH RECURSIVE {_type_cte(types)}, {_DB_CTE}, {_SECTION_CTE}, {_WALK},
 k AS (SELECT d.*, t.root, t.allowed, t.required FROM dbs d LEFT JOIN ttypes t ON lower(t.type) = lower(d.type)), low AS (SELECT node, min(up) AS least FROM walk w WHERE EXISTS (SELECT 1 FROM walk x WHERE x.node = w.up AND x.up = w.up) AND node IN (SELECT node FROM walk WHERE node = up) GROUP BY node)
 SELECT 'Error' AS severity, 'TENANT-TYPE-UNKNOWN' AS code, name AS table_name FROM k WHERE root IS NULL
 UNION ALL SELECT 'Error', 'TENANT-SECTION-NOT-MODULE', name FROM (SELECT name, unnest(installed) AS s FROM k) WHERE lower(s) NOT IN (SELECT lower(name) FROM sections WHERE is_module)
@@ -438,11 +457,25 @@ UNION ALL SELECT 'Error', 'TENANT-PARENT-NOT-ALLOWED', k.name FROM k JOIN dbs p
 UNION ALL SELECT 'Error', 'TENANT-ROOT-HAS-PARENT', name FROM k WHERE parent IS NOT NULL AND root
 UNION ALL SELECT 'Warning', 'TENANT-ORPHAN', name FROM k WHERE parent IS NULL AND NOT root
 UNION ALL SELECT 'Error', 'TENANT-ROOT-DUPLICATE', NULL FROM k WHERE root HAVING count(*) > 1
-UNION ALL SELECT 'Error', 'TENANT-CYCLE', d.name FROM low JOIN dbs d ON lower(d.name) = node WHERE node = least""")
+UNION ALL SELECT 'Error', 'TENANT-CYCLE', d.name FROM low JOIN dbs d ON lower(d.name) = node WHERE node = least
+UNION ALL SELECT 'Error', 'TENANT-ROOT-MISSING', NULL WHERE NOT EXISTS (SELECT 1 FROM ttypes WHERE root)"""
+
+
+def _tenants(spark: SparkSession, types: list[dict]) -> DataFrame:
+    found = validate.validate_tenants(frame(spark, types, TENANT_TYPE_DDL), frame(spark, D.TENANT_DATABASES, TENANT_DATABASE_DDL), frame(spark, D.SECTIONS, SECTION_DDL))
+    return found.select("severity", "code", "table_name")
+
+
+@query(_tenants_sql(D.TENANT_TYPES))
 def validate_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of a tenant topology."""
-    found = validate.validate_tenants(frame(spark, D.TENANT_TYPES, TENANT_TYPE_DDL), frame(spark, D.TENANT_DATABASES, TENANT_DATABASE_DDL), frame(spark, D.SECTIONS, SECTION_DDL))
-    return found.select("severity", "code", "table_name")
+    return _tenants(spark, D.TENANT_TYPES)
+
+
+@query(_tenants_sql(D.ROOTLESS_TYPES))
+def validate_tenants_rootless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where no type is a root."""
+    return _tenants(spark, D.ROOTLESS_TYPES)
 
 
 # Filters and capture
@@ -556,8 +589,7 @@ def tenant_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9e/A7: columns of each index put together in their order."""
     parts = live(spark).indexes.select("table_name", "name", F.posexplode("columns").alias("at", "c"))
-    parts.createOrReplaceTempView("plumbline_index_columns")
-    return spark.sql("SELECT table_name, name, listagg(c, ',') WITHIN GROUP (ORDER BY at) AS cols FROM plumbline_index_columns GROUP BY table_name, name")
+    return spark.sql("SELECT table_name, name, listagg(c, ',') WITHIN GROUP (ORDER BY at) AS cols FROM {parts} GROUP BY table_name, name", parts=parts)
 
 
 @query("SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS history, count(*) AS n FROM orders GROUP BY o_custkey")

@@ -77,6 +77,7 @@ def repo_documents() -> list[dict]:
     docs["part"]["primary_key"] = ["p_partkey", "p_name"]
     docs["orders"]["foreign_keys"] = [{"source_field": "O_CUSTKEY", "target_table": "Customer", "target_field": "c_custkey", "cascade_delete": True, "kind": "physical"}]
     docs["supplier"]["foreign_keys"] = [docs["supplier"]["foreign_keys"][0] | {"kind": "logical"}]
+    docs["nation"]["foreign_keys"] = [docs["nation"]["foreign_keys"][0] | {"kind": "logical", "cascade_delete": True}]
     docs["part"]["foreign_keys"] = [{"source_field": "p_brand", "target_table": "brand", "target_field": "id", "cascade_delete": False, "kind": "physical"}, {"source_field": "p_type", "target_table": "orders", "target_field": "o_orderkey", "cascade_delete": False, "kind": "virtual"}]
     docs["lineitem"]["foreign_keys"] = docs["lineitem"]["foreign_keys"][:2]
     docs["orders"]["indexes"] = [
@@ -98,7 +99,7 @@ def rule_documents() -> list[dict]:
     fk = lambda s, t, u="id", **v: {"source_field": s, "target_table": t, "target_field": u, "cascade_delete": False, "kind": "physical"} | v
     docs = [
         table_document(name=" ", fields=[f("id")], primary_key=["id"], source_file="tables/blank.json"),
-        table_document(name="app.empty", primary_key=["id"], sections=["Core"], source_file="tables/empty.json"),
+        table_document(name="app.empty", primary_key=["id"], sections=["Core", "Nowhere"], is_reference_table=True, data=[{"id": "2"}, {"id": "1"}, {"id": "2"}], source_file="tables/empty.json"),
         table_document(
             name="app.keys", fields=[f("id", nullable=True), f("parent_id"), f("code", "varchar(10)", nullable=True, is_match_column=True)], primary_key=["id", "ID", "nope"],
             foreign_keys=[fk("parent_id", "app.keys"), fk("lost_id", "app.state"), fk("parent_id", "app.gone", cascade_delete=True, kind="logical"), fk("code", "app.far", kind="virtual")],
@@ -153,6 +154,10 @@ TENANT_DATABASES = [
 ]
 
 
+#: A topology without any root.
+ROOTLESS_TYPES = [t | {"root": False} for t in TENANT_TYPES]
+
+
 def literal(value: object) -> str:
     if value is None:
         return "NULL"
