@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from plumbline.shared import checkpointed, removed, shared_folder  # noqa: F401  the operators take them from here
+
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -20,23 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where neither that setting nor a checkpoint folder exists (tests) is a
-    temporary one set.
-    """
-    context = spark.sparkContext
-    if found := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
-        return found.rstrip("/")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def row_hash(df: DataFrame, salt: str) -> Column:
+    """A hash of all plain columns of a row, by which rows (not texts) are drawn."""
+    plain = ("string", "tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz", "binary")
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if kind in plain or kind.startswith("decimal")], F.lit(salt))
 
 
 def fold_of(id_col: str, folds: int) -> Column:

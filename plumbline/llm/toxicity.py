@@ -5,14 +5,15 @@ pairs with one word between (skip-grams).  FTRL-proximal keeps two sums for each
 coordinate: a learning rate of its own, and an L1 term that leaves most weights at
 exactly zero, so that the weights fit a small broadcast.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, taken by
-a hash of the id; all rows where there are fewer).  Scoring is one pass over all
-rows without a shuffle.
+The model is fitted by one task on a bounded sample of labelled rows (``SAMPLE_ROWS``
+ids of least hash and ``SAMPLE_BYTES`` of their features; all where there are fewer),
+each learned whole.  Scoring is one pass over all rows without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import by_batch, ddl, fold_of, fresh
 
-#: Bound of the expected number of labelled rows that a model is fitted on.
-SAMPLE_ROWS = 12_000
+#: Most labelled rows that a model is fitted on, and most bytes of their packed features (4 bytes a feature).
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 256 << 20
 BITS = 20
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 1.0, 3
 HELD_OUT_FOLDS, HELD_OUT = 5, 0
@@ -117,47 +118,64 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]]) -> Weights:
     return Weights(index.astype(np.int32), w[index].astype(np.float32), float(bias()))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, trainable: Column) -> list[tuple[np.ndarray, int]]:
+def _bounded(rows: Iterable[tuple[bytes, int]]) -> list[tuple[np.ndarray, int]]:
+    """(packed features, label) in the given order, whole rows, until ``SAMPLE_BYTES`` are held."""
+    out, held = [], 0
+    for data, y in rows:
+        held += len(data)
+        if held > SAMPLE_BYTES:
+            break
+        out.append((np.frombuffer(data, "u1" if len(data) == 1 << (BITS - 3) else "<i4"), y))
+    return out
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, trainable: Column) -> Weights:
+    """Weights learned by one executor task from a sample of at most ``SAMPLE_ROWS`` ids.
+
+    The ids are those of least hash; a row of each is used (of several the one of least
+    text hash), in the order of the ids' hashes.  Only the weights reach the driver.
+    """
     labelled = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).filter(trainable)
     labelled = labelled.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
-    total = labelled.count()
-    if not total:
-        return []
-    share = min(1.0, SAMPLE_ROWS / total)
-    key = F.xxhash64("_id", F.lit("sample"))
-    if share < 1:
-        labelled = labelled.filter(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)))
-    few = F.broadcast(labelled) if share == 1 or total * share <= 2 * SAMPLE_ROWS else labelled  # at most twice the bound, 12 bytes a row
+    chosen = labelled.withColumn("_key", F.xxhash64("_id", F.lit("sample"))).orderBy("_key", "_id").limit(SAMPLE_ROWS)
 
     def make():
         hashes = WordHashes()
 
         def work(batch: pa.RecordBatch) -> dict:
-            found = [packed(np.unique(features(x.as_py(), hashes))) for x in batch.column(2)]
-            return {"key": batch.column(0), "label": batch.column(1), "features": found}
+            found = [packed(np.unique(features(x.as_py(), hashes))) for x in batch.column(3)]
+            return {"key": batch.column(0), "label": batch.column(1), "tie": batch.column(2), "features": found}
 
         return work
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(few, "_id")
-    rows = rows.select(F.xxhash64("_id", "_text").alias("key"), "_label", "_text")
-    got = by_batch(rows, make, "key long, label int, features binary").toArrow()  # 2**BITS bits a sampled row at most
-    order, labels_ = np.argsort(got.column("key").to_numpy(), kind="stable"), got.column("label").to_numpy()
-    # views of what Arrow holds: the driver keeps the sample once
-    views = [np.frombuffer(b, "u1" if b.size == 1 << (BITS - 3) else "<i4") for x in got.column("features") for b in [x.as_buffer()]]
-    return [(views[i], int(labels_[i] > 0)) for i in order]
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((x.as_py(), int(y.as_py() > 0)) for b in batches for x, y in zip(b.column(1), b.column(0)))
+        w = fit_ftrl(_bounded(rows))
+        yield pa.RecordBatch.from_pydict({"index": [w.index.astype("<i4").tobytes()], "value": [w.value.astype("<f4").tobytes()], "bias": [w.bias]})
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # SAMPLE_ROWS rows of 20 bytes
+    rows = rows.select("_key", "_label", F.xxhash64("_text").alias("_tie"), "_text")
+    rows = by_batch(rows, make, "key long, label int, tie long, features binary")
+    rows = rows.groupBy("key").agg(F.min(F.struct("tie", "label", "features")).alias("x")).select("key", "x.label", "x.features")
+    got = rows.repartition(1).sortWithinPartitions("key").select("label", "features").mapInArrow(fit, "index binary, value binary, bias double").first()
+    if got is None:  # no row at all
+        return fit_ftrl([])
+    return Weights(np.frombuffer(got["index"], "<i4"), np.frombuffer(got["value"], "<f4"), got["bias"])
 
 
 def add_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", score: str = "score", trainable: Column | None = None) -> DataFrame:
     """``docs`` with a column ``score`` between 0 and 1 for every row.
 
     Only rows of ``labels`` for which ``trainable`` holds (default: crc32 of the id
-    modulo 5 isn't 0) teach; a null label or id teaches nothing, and of several
-    labels of an id the largest counts.  Null and empty texts get the score of no
-    features.  Without any label all scores are those of an empty model, 0.5.  A
-    column of ``docs`` that is named as the score is replaced.
+    modulo 5 isn't 0) teach; a null label or id teaches nothing, of several
+    labels of an id the largest counts, and of several rows of a labelled id one
+    teaches.  Null and empty texts get the score of no features.  Without any label
+    all scores are those of an empty model, 0.5.  Repeated rows each get a score; an
+    empty table stays empty.  A column of ``docs`` that is named as the score is
+    replaced.
     """
     trainable = fold_of(id_col, HELD_OUT_FOLDS) != HELD_OUT if trainable is None else trainable
-    weights = fit_ftrl(_sample(docs, labels, id_col, text, label, trainable))
+    weights = fitted(docs, labels, id_col, text, label, trainable)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 8 bytes for each of 2**BITS weights at most
     keep = [c for c in docs.columns if c.lower() != score.lower()]
     name = fresh(docs, "_score")
@@ -188,7 +206,7 @@ def add_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """``id_col``, ``held_out``, ``score`` and ``predicted`` of every row (see ``add_scores``)."""
+    """``id_col``, ``held_out``, ``score`` and ``predicted`` of every row (see ``add_scores``); a null id isn't held out."""
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     plain_labels = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
     out = add_scores(plain, plain_labels, "_id", "_text", "_label", "_score")
@@ -201,6 +219,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """``docs`` without the rows that score ``THRESHOLD`` or more; all columns stay."""
+    """``docs`` without the rows that score ``THRESHOLD`` or more; all columns stay (see ``add_scores`` for nulls and repeats)."""
     name = fresh(docs, "_toxicity")
     return add_scores(docs, labels, id_col, text, label, name).filter(F.col(name) < THRESHOLD).drop(name)

@@ -1,3 +1,4 @@
+import math
 import random
 from zlib import crc32
 
@@ -66,12 +67,62 @@ def test_l1_leaves_few_weights():
     assert 9000 in weights.index and len(weights.index) < 500
 
 
-def test_a_very_long_row_teaches_all_its_features(spark, docs, monkeypatch):
-    text, fitted, fit = " ".join(f"w{i}" for i in range(30_000)), [], toxicity.fit_ftrl
-    monkeypatch.setattr(toxicity, "fit_ftrl", lambda rows: fitted.append(fit(rows)) or fitted[0])
-    labels = [(i, 1, 1) for i in range(60)]
-    toxicity.add_scores(docs([(i, text, "en", "a") for i, _, _ in labels]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+SCHEMA = "doc_id long, quality int, toxic int"
+
+
+def taught(spark, docs, rows, labels):
+    return toxicity.fitted(docs(rows), spark.createDataFrame(labels, SCHEMA), "doc_id", "text", "toxic", toxicity.F.lit(True))
+
+
+def test_a_very_long_row_teaches_all_its_features(spark, docs):
+    text = " ".join(f"w{i}" for i in range(30_000))
+    got = taught(spark, docs, [(i, text, "en", "a") for i in range(60)], [(i, 1, 1) for i in range(60)])
     own = np.unique(toxicity.features(text, toxicity.WordHashes()))
-    taught = sum(crc32(str(i).encode()) % 5 != 0 for i, _, _ in labels)
-    assert len(own) > 1 << 16 and np.array_equal(fitted[0].index, own)
-    assert np.array_equal(fitted[0].value, fit([(own, 1)] * taught).value)
+    assert len(own) > 1 << 16 and np.array_equal(got.index, own)
+    assert np.array_equal(got.value, toxicity.fit_ftrl([(own, 1)] * 60).value)
+
+
+def plain_ftrl(rows):
+    """The same sums, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i, l1):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for found, y in rows:
+            w = {i: weight(i, toxicity.L1) for i in found} | {"bias": weight("bias", 0.0)}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, wi in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in z if i != "bias" and (w := weight(i, toxicity.L1))}, weight("bias", 0.0)
+
+
+def test_weights_and_scores_against_a_plain_version(spark, docs):
+    rows, labels = corpus(200)
+    got = taught(spark, docs, rows, labels)
+    texts = dict(r[:2] for r in rows)
+    keys = {r["k"]: r["doc_id"] for r in docs(rows).select("doc_id", toxicity.F.xxhash64("doc_id", toxicity.F.lit("sample")).alias("k")).collect()}
+    truth = {i: y for i, _, y in labels}
+    hashes = toxicity.WordHashes()
+    ordered = [(sorted(set(toxicity.features(texts[keys[k]], hashes).tolist())), truth[keys[k]]) for k in sorted(keys)]
+    weights, bias = plain_ftrl(ordered)
+    assert set(got.index.tolist()) == set(weights) and np.allclose(got.value, [weights[i] for i in got.index.tolist()], atol=1e-5) and abs(got.bias - bias) < 1e-6
+    scored = toxicity.add_scores(docs(rows), spark.createDataFrame(labels, SCHEMA), score="s", trainable=toxicity.F.lit(True))
+    for r in scored.collect():
+        total = bias + sum(weights.get(i, 0.0) for i in set(toxicity.features(r["text"], hashes).tolist()))
+        assert abs(r["s"] - 1 / (1 + math.exp(-total))) < 1e-5
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark, docs, monkeypatch):
+    rows, labels = corpus(300)
+    repeated = rows + [(rows[0][0], f"only {i}", "en", "a") for i in range(500)]  # one labelled id over and over
+    assert np.array_equal(taught(spark, docs, repeated + repeated, labels).index, taught(spark, docs, repeated, labels).index)
+    first = [(np.arange(50, dtype="<i4").tobytes(), 1)] * 10
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    assert len(toxicity._bounded(first)) == 5
