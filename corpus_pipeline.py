@@ -3,6 +3,12 @@
 Each stage is a function (spark, docs, sf_dir) -> DataFrame.  All but the last keep
 the columns of documents; the result of each is written as Parquet and read again as
 the next one's docs.
+
+Null and empty texts pass toxicity with the score of no features, hold no line, share
+one fingerprint (so one of them stays), hold no benchmark item and encode to no ids.
+Rows that repeat a doc_id count as copies of each other; rows with a null doc_id stay.
+Further columns are carried along, whatever their names; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, decontaminate, line_dedup, near_copies, simhash, toxicity
-from plumbline.llm.common import shared_folder, table
+from plumbline.llm.common import removed, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +59,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again.
+
+    What a stage has read goes once its own result is written; the last result stays.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
