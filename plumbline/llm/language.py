@@ -5,9 +5,9 @@ a blank standing for each side of a word) by falling frequency.  A text's own li
 compared with each profile by the out-of-place distance: for each of its n-grams the
 difference of the two ranks, or the profile's length where it isn't there.
 
-Profiles are learned from about ``LANGUAGE_ROWS`` rows of each language, taken by a
-hash of the id (all rows where there are fewer); the counts are summed by Spark.
-Predicting is one pass over all rows without a shuffle.
+Profiles are learned from at most ``LANGUAGE_ROWS`` rows of each language that have a
+letter, those of least hash of the whole row (all where there are fewer); the counts
+are summed by Spark.  Predicting is one pass over all rows without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_batch, ddl, fold_of
+from plumbline.llm.common import by_batch, ddl, fold_of, row_hash
 
-#: Bound of the expected rows of a language that its profile is learned from.
-LANGUAGE_ROWS = 2_000
+#: Most rows of a language that its profile is learned from, and most languages.
+LANGUAGE_ROWS, LANGUAGES = 2_000, 50_000
 PROFILE, ORDERS = 400, (1, 2, 3)
 HELD_OUT_FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-#: Characters of a text that are counted at once.
+#: Characters of a text that are counted at once, if a break between words allows.
 PART = 1 << 18
 _BITS = np.int64(21)
 
@@ -36,14 +36,31 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def letters_of(text: str, letter: np.ndarray) -> np.ndarray:
-    """Code points of the lower-case text with one blank for each run of other characters and at both ends."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    codes = np.where(letter[codes], codes, 32)
-    codes = np.concatenate(([32], codes, [32]))
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-    return codes[keep]
+def letters_of(text: str, letter: np.ndarray) -> Iterator[np.ndarray]:
+    """Code points of the lower-case text with one blank for each run of other characters and at both ends.
+
+    They come in parts, cut between words; the blank at a cut ends one part and begins the next.
+    """
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    at = 0
+    while True:
+        end = min(at + PART, len(codes))
+        if end < len(codes):
+            gaps = np.flatnonzero(~letter[codes[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:  # one word: on to its end
+                while end < len(codes) and letter[codes[end]]:
+                    more = np.flatnonzero(~letter[codes[end : end + PART]])
+                    end = end + int(more[0]) if len(more) else min(end + PART, len(codes))
+        part = codes[at:end].astype(np.int64)
+        part = np.concatenate(([32], np.where(letter[part], part, 32), [32]))
+        keep = np.ones(len(part), bool)
+        keep[1:] = (part[1:] != 32) | (part[:-1] != 32)
+        yield part[keep]
+        at = end
+        if at >= len(codes):
+            return
 
 
 def grams_of(codes: np.ndarray, order: int) -> np.ndarray:
@@ -63,8 +80,7 @@ def grams_of(codes: np.ndarray, order: int) -> np.ndarray:
 def gram_counts(text: str, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams ascending, counts) of a whole text; an n-gram carries its order in the bits above its letters."""
     total: tuple[np.ndarray, np.ndarray] | None = None
-    for at in range(0, max(1, len(text)), PART):
-        codes = letters_of(text[at : at + PART], letter)
+    for codes in letters_of(text, letter):
         parts = np.unique(np.concatenate([grams_of(codes, n) for n in ORDERS]), return_counts=True)
         if total is None:
             total = parts
@@ -82,22 +98,23 @@ def ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Profiles:
     """Profiles of all languages, ready to be compared with texts."""
 
-    def __init__(self, profiles: dict[str, list[int]]):
+    def __init__(self, profiles: dict[str, np.ndarray]):
         self.names = sorted(profiles)
-        self.sides = []
-        for name in self.names:
-            grams = np.array(profiles[name], np.int64)
-            order = np.argsort(grams)
-            self.sides.append((grams[order], order))
+        sizes = [len(profiles[n]) for n in self.names]
+        grams = np.concatenate([np.empty(0, np.int64), *(np.asarray(profiles[n], np.int64) for n in self.names)])
+        order = np.argsort(grams, kind="stable")
+        self.grams = grams[order]
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.place = np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)])[order]
 
     def distances(self, own: np.ndarray) -> np.ndarray:
         """Mean out-of-place distance to each language as a share of the profile's length."""
-        rank = np.arange(len(own))
-        out = []
-        for grams, place in self.sides:
-            at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-            out.append(np.where(grams[at] == own, np.abs(place[at] - rank), PROFILE).mean() / PROFILE)
-        return np.array(out)
+        low, high = np.searchsorted(self.grams, own), np.searchsorted(self.grams, own, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        nearer = PROFILE - np.abs(self.place[at] - np.repeat(np.arange(len(own)), n))
+        saved = np.bincount(self.owner[at], nearer, len(self.names))
+        return 1 - saved / (len(own) * PROFILE)
 
     def predict(self, text: str | None, letter: np.ndarray) -> tuple[str, float]:
         grams, counts = gram_counts(text or "", letter)
@@ -107,17 +124,23 @@ class Profiles:
         return self.names[int(np.argmin(d))], float(1 - d.min())
 
 
-def learn_profiles(docs: DataFrame, lang: str, text: str, trainable: Column) -> dict[str, list[int]]:
+def learning_rows(docs: DataFrame, lang: str, text: str, trainable: Column) -> DataFrame:
+    """(lang, text) of the rows that profiles are learned from.
+
+    A language's rows are cut down to about twice its bound by their hash before they are
+    ranked, so that a language of a third of all rows is no burden on one task.
+    """
+    h = F.pmod(row_hash(docs, "profile"), F.lit(1 << 62))
+    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), trainable.alias("ok"), h.alias("h"))
+    rows = rows.filter("ok and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
+    sizes = rows.groupBy(F.col("lang").alias("_lang")).agg((F.lit(2.0 * LANGUAGE_ROWS) / F.count("*")).alias("share"))
+    few = rows.join(sizes, F.col("lang") == F.col("_lang")).filter(F.col("h") < F.col("share") * float(1 << 62))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    return few.withColumn("nth", nth).filter(F.col("nth") <= LANGUAGE_ROWS).select("lang", "text")
+
+
+def learn_profiles(docs: DataFrame, lang: str, text: str, trainable: Column) -> dict[str, np.ndarray]:
     """language -> n-grams of its profile."""
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), trainable.alias("ok"), F.xxhash64(text, F.lit("profile")).alias("h"))
-    rows = rows.filter("ok and lang is not null and text is not null")
-    sizes = dict(rows.groupBy("lang").count().collect())  # one row a language
-    if not sizes:
-        return {}
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, min(1.0, LANGUAGE_ROWS / n)).otherwise(share)
-    sample = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = _is_letter()
@@ -130,13 +153,14 @@ def learn_profiles(docs: DataFrame, lang: str, text: str, trainable: Column) ->
                 n = np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64) if len(grams) else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_pydict({"lang": [name] * len(grams), "gram": grams, "n": n})
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = learning_rows(docs, lang, text, trainable).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("rank", best).filter(F.col("rank") <= PROFILE).orderBy("lang", "rank")
-    out: dict[str, list[int]] = {}
-    for r in top.select("lang", "gram").collect():  # PROFILE rows a language
-        out.setdefault(r["lang"], []).append(r["gram"])
-    return out
+    top = counts.withColumn("rank", best).filter(F.col("rank") <= PROFILE)
+    lists = top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("grams"))
+    got = lists.limit(LANGUAGES + 1).toArrow()  # PROFILE numbers a language
+    if got.num_rows > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; their profiles aren't sent to the executors")
+    return {name: grams.values.to_numpy() for name, grams in zip(got.column("lang").to_pylist(), got.column("grams"))}
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", trainable: Column | None = None) -> DataFrame:
@@ -147,7 +171,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     out-of-place distance as a share of the largest.  A null text, or one without a
     letter, is ``und`` with score 0, and so is all if nothing was learned; on a tie
     the first language by name is taken.  Rows with a null id aren't held out and
-    teach nothing; other columns are ignored.
+    teach nothing; repeated rows each get a row; other columns are ignored; an empty
+    table gives an empty one.  A language all of whose teaching rows lack a letter isn't
+    learned; texts in it get another language's name.
     """
     fold = fold_of(id_col, HELD_OUT_FOLDS)
     profiles = learn_profiles(docs, lang, text, fold != HELD_OUT if trainable is None else trainable)

@@ -2,11 +2,13 @@ import hashlib
 import io
 import random
 import wave
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import audio, language
 
@@ -126,7 +128,7 @@ def test_held_out_rows_teach_nothing(docs):
 
 
 def test_out_of_place_distance_by_definition():
-    known = language.Profiles({"x": [10, 20, 30], "y": [30, 40, 10]})
+    known = language.Profiles({"x": np.array([10, 20, 30]), "y": np.array([30, 40, 10])})
     own = [20, 10, 99]
     for name, d in zip(known.names, known.distances(np.array(own))):
         profile = {"x": [10, 20, 30], "y": [30, 40, 10]}[name]
@@ -142,13 +144,60 @@ def test_gram_counts_by_definition():
     assert found == {"a": 2, "b": 2, " a": 2, "ab": 1, "b ": 2, "a ": 1, " b": 1, " ab": 1, "ab ": 1, " a ": 1, " b ": 1}
 
 
-def test_parts_of_long_texts_add_up(monkeypatch):
+@pytest.mark.parametrize("text", ["some longer text " * 30, "x" * 100, "ab, cd" + "y" * 70 + " z", "", "..", "ΑΣ ΟΔΟΣ. " * 9])
+def test_parts_of_long_texts_add_up(monkeypatch, text):
     letter = language._is_letter()
-    text = "some longer text " * 30
     whole = language.gram_counts(text, letter)
-    monkeypatch.setattr(language, "PART", 17)
-    parts = language.gram_counts(text, letter)
-    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    for part in [*range(1, 40), 64, 99, 100, 101]:
+        monkeypatch.setattr(language, "PART", part)
+        parts = language.gram_counts(text, letter)
+        assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all(), part
+
+
+def plain_grams(text):
+    """n-grams of one to three letters with a blank for each side of a word, most frequent first."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    found = Counter()
+    for w in words:
+        padded = f" {w} "
+        for n in (1, 2, 3):
+            found.update(g for i in range(len(padded) - n + 1) if (g := padded[i : i + n]).strip())
+    packed = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return found, packed
+
+
+def test_profiles_and_predictions_against_a_plain_version(docs):
+    rows = lang_rows(160, seed=8)
+    learned = {}
+    for i, text, lang, _ in rows:
+        if crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault(lang, Counter()).update(plain_grams(text)[0])
+    packed = plain_grams("")[1]
+    ranks = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], packed(x[0])))][: language.PROFILE]
+    profiles = {lang: {g: r for r, g in enumerate(ranks(c))} for lang, c in learned.items()}
+    for r in language.identify(docs(rows)).collect():
+        own = ranks(plain_grams(dict(x[:2] for x in rows)[r["doc_id"]])[0])
+        d = {lang: sum(abs(p[g] - k) if g in p else language.PROFILE for k, g in enumerate(own)) / len(own) / language.PROFILE for lang, p in profiles.items()}
+        best = min(sorted(d), key=d.get)
+        assert abs(r["score"] - (1 - d[best])) < 1e-9 and abs(d[r["lang_pred"]] - d[best]) < 1e-12
+
+
+def test_rows_are_drawn_by_row_and_bounded(docs, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGE_ROWS", 20)
+    two = docs([(i, ("der hund und die katze", "the dog and the cat")[i % 2], ("de", "en")[i % 2], "a") for i in range(400)])
+    assert {r["lang"]: r["count"] for r in language.learning_rows(two, "lang", "text", F.lit(True)).groupBy("lang").count().collect()} == {"de": 20, "en": 20}
+    assert {(r["doc_id"] % 2, r["lang_pred"]) for r in language.identify(two).collect()} == {(0, "de"), (1, "en")}
+    common = docs([(i, "same text" if i % 10 else f"other text {i}", "en", "a") for i in range(1000)] + [(7, "same row", "en", "a")] * 500)
+    drawn = [r["text"] for r in language.learning_rows(common, "lang", "text", F.lit(True)).collect()]
+    assert len(drawn) == 20 and any(t.startswith("other") for t in drawn)
+
+
+def test_many_languages(docs):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " * 3, f"l{i:05}", "a") for i in range(10_000)]
+    learned = language.learn_profiles(docs(rows), "lang", "text", F.lit(True))
+    assert len(learned) == 10_000
+    known = language.Profiles(learned)
+    assert all(known.predict(t, language._is_letter())[0] == lang for _, t, lang, _ in rows[::997])
 
 
 def test_unknown_and_awkward(awkward, docs):
