@@ -80,9 +80,9 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-_TEMPLATES = ", ".join(f"({k}, '{t.label}', {t.words}, {t.needed}, {t.phrase})" for k, t in enumerate(licenses.PHRASES + licenses.NOTICES))
+_TEMPLATES = ", ".join(f"({k}, '{t.label}', {t.words}, {t.needed}, {t.phrase}, {t.stride})" for k, t in enumerate(licenses.TEMPLATES))
 OP3_SQL = rf"""
-WITH templates(k, label, tw, needed, phrase) AS (VALUES {_TEMPLATES}),
+WITH templates(k, label, tw, needed, phrase, stride) AS (VALUES {_TEMPLATES}),
 docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{A_TO_Z}', '{A_TO_Z.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
@@ -90,11 +90,11 @@ docs AS (
   SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(tw)] = tw)) AS place
   FROM docs, templates WHERE phrase AND list_has_all(w, tw)
 ), blocks AS (
-  SELECT doc_id, list_distinct(w[b + 1 : b + {2 * licenses.STRIDE}]) AS block
-  FROM (SELECT doc_id, w, unnest(range(0, len(w), {licenses.STRIDE})) AS b FROM docs)
+  SELECT doc_id, stride, list_distinct(w[b + 1 : b + 2 * stride]) AS block
+  FROM (SELECT doc_id, w, stride, unnest(range(0, len(w), stride)) AS b FROM docs, (SELECT DISTINCT stride FROM templates))
 ), notices AS (
   SELECT doc_id, label, len(list_intersect(block, list_distinct(tw))) AS shared, needed, len(list_distinct(tw)) AS n
-  FROM blocks, templates WHERE NOT phrase
+  FROM blocks JOIN templates USING (stride) WHERE NOT phrase
 ), hits AS (
   SELECT doc_id, label, place, CAST(1.0 AS DOUBLE) AS share FROM places
   UNION ALL SELECT doc_id, label, NULL, CAST(shared AS DOUBLE) / n FROM notices WHERE shared >= needed

@@ -1,7 +1,5 @@
 import re
 
-import pytest
-
 from plumbline.llm import licenses, url_filter
 
 ENTRIES = [("a", "bad.example", "block", "2024-01-10"), ("a", "bad.example", "remove", "2024-02-10"), ("a", "BAD.example", "block", "2024-03-10"), ("b", "ok.bad.example", "allow", "2024-01-01"), ("b", "site.example/x", "block", "2024-01-01"), ("b", "same.example", "allow", "2024-01-01"), ("b", "same.example", "block", "2024-01-01"), ("c", None, "block", "2024-01-01"), ("c", "k", "what", "2024-01-01"), ("a", "bad.example", "block", "2024-01-10")]
@@ -39,8 +37,8 @@ def plain_scan(text, templates):
             base |= {t.label} if at else set()
             score = 1.0 if at else score
         else:
-            for b in range(0, len(w), licenses.STRIDE):
-                shared = len(set(w[b : b + 2 * licenses.STRIDE]) & set(t.words))
+            for b in range(0, len(w), t.stride):
+                shared = len(set(w[b : b + 2 * t.stride]) & set(t.words))
                 if shared >= t.needed:
                     labels.add(t.label)
                     score = max(score, shared / len(set(t.words)))
@@ -56,11 +54,29 @@ TEXTS = [
 def test_scan_against_a_plain_version(docs):
     rows = [(i, t, "en", "a") for i, t in enumerate(TEXTS)] + [(99, None, "en", "a"), (98, "", "en", "a"), (0, TEXTS[0], "en", "a"), (None, "mit license", "en", "b"), (None, "mit license", "en", "b"), (0, "cc by", "en", "z")]
     got = sorted((tuple(r) for r in licenses.scan(docs(rows)).collect()), key=repr)
-    templates = licenses.PHRASES + licenses.NOTICES
+    templates = licenses.TEMPLATES
     assert got == sorted(((i, *plain_scan(t, templates)) for i, t, _, _ in rows), key=repr)
     assert licenses.scan(docs([])).isEmpty()
 
 
-def test_templates_longer_than_a_block_are_refused(docs):
-    with pytest.raises(ValueError):
-        licenses.scan(docs([]), (licenses.Template("x", "w " * 40),))
+def test_whole_license_texts_are_found_wherever_they_stand(docs):
+    mit, isc = licenses.TEXTS
+    cut = lambda t, k: " ".join(w for i, w in enumerate(t.words) if i % k)  # noqa: E731  every k-th word is missing
+    rows = [(i, f"{'lead ' * i}{mit.text.upper()}, {'tail ' * 50}", "en", "a") for i in (0, 1, 31, 100, 255, 256, 257, 700)]
+    rows += [(1001, "Permission: " + cut(isc, 12), "en", "a"), (1002, cut(mit, 2), "en", "a"), (1003, " ".join(isc.words[:60]), "en", "a")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(docs(rows)).collect()}
+    assert got == {i: plain_scan(t, licenses.TEMPLATES) for i, t, _, _ in rows}
+    assert all("mit-text" in got[r[0]][5] for r in rows[:8]) and "isc-text" in got[1001][5] and not {"mit-text", "isc-text"} & {*got[1002][5].split(","), *got[1003][5].split(",")}
+
+
+def test_op3_sql_on_license_texts(spark, docs, tmp_path):
+    import duckdb
+
+    from plumbline.llm.registry import OP3_SQL
+
+    mit = licenses.TEXTS[0]
+    frame = docs([(i, f"{'lead ' * (37 * i)}{mit.text} MIT License", "en", "a") for i in range(12)] + [(50, None, "en", "a"), (51, "cc by", "en", "a")])
+    frame.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    assert sorted(map(tuple, licenses.scan(frame).collect())) == sorted(con.execute(OP3_SQL).fetchall())
