@@ -7,18 +7,25 @@ are computed once for each trie node, so a prefix that many pre-tokens share cos
 once.  The count at each pre-token's terminal is stored and remembered; a text's count
 is a sum of lookups.
 
-Scores follow a Zipf law over the ranks of a public byte-level vocabulary
-(``score_of``), since no unigram model is trained here.
+The vocabulary is that of a public tokenizer and stays as it is; the model's scores are
+learned from the corpus.  One pass counts the distinct pre-tokens of all texts; then,
+from scores that follow a Zipf law over the vocabulary's ranks, ``ROUNDS`` rounds of
+hard expectation maximisation over the distinct pre-tokens: each is segmented, the
+tokens are counted with the pre-token's weight, and a token's score becomes the
+logarithm of its share (plus one for each token).  Counts are whole numbers, so the
+order of the sums doesn't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import islice
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -26,35 +33,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import CACHE_PIECES, RANK_FILE, RANK_FILE_LIMIT, parse_ranks
-from plumbline.llm.common import by_batch, ddl
+from plumbline.llm.common import by_batch, checkpointed, ddl
 
-ZIPF_SHIFT = 2.7
+ZIPF_SHIFT, ROUNDS = 2.7, 3
+#: Texts that are counted at once.
+TEXTS = 500
 
 
-def score_of(rank: int) -> float:
-    """Log-weight of a token; equal for all vocabularies, so only ranks matter."""
-    return -math.log(rank + ZIPF_SHIFT)
+def zipf_scores(ranks: dict[bytes, int]) -> dict[int, float]:
+    """Log-probabilities by rank that the first round starts from."""
+    total = math.log(sum(1 / (r + ZIPF_SHIFT) for r in ranks.values())) if ranks else 0.0
+    return {r: -math.log(r + ZIPF_SHIFT) - total for r in ranks.values()}
+
+
+def scores_of(counts: dict[int, int], ranks: dict[bytes, int]) -> dict[int, float]:
+    """Log-probabilities by rank from counts of tokens, one added to each."""
+    total = math.log(sum(counts.values()) + len(ranks)) if ranks else 0.0
+    return {r: math.log(counts.get(r, 0) + 1) - total for r in ranks.values()}
 
 
 class UnigramTrie:
     """The vocabulary as a trie, and the forward pass over a trie of pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        total = math.log(sum(1 / (r + ZIPF_SHIFT) for r in ranks.values()))
+    def __init__(self, ranks: dict[bytes, int], scores: dict[int, float]):
         self.next: dict[int, int] = {}
         self.score: dict[int, float] = {}
+        self.rank: dict[int, int] = {}
         for token, rank in ranks.items():
             node = 0
             for b in token:
                 key = node << 8 | b
                 node = self.next.setdefault(key, len(self.next) + 1)
-            self.score[node] = score_of(rank) - total
+            self.score[node], self.rank[node] = scores[rank], rank
 
-    def counts(self, pieces: Iterable[bytes]) -> dict[bytes, int]:
-        """Tokens of the best segmentation of each piece; on a tie of scores the one with fewer tokens."""
+    def forward(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, list[tuple[float, int, int, int]]]]:
+        """(piece, by depth: best score, minus its tokens, minus where its last token begins, that token's node) in sorted order.
+
+        On a tie of scores the segmentation with fewer tokens is best, then the one whose last token is longer.  The
+        list is changed by the next step.
+        """
         step, score = self.next.get, self.score
-        out: dict[bytes, int] = {}
-        best = [(0.0, 0)]  # by depth: forward score, minus the tokens
+        best = [(0.0, 0, 0, 0)]
         live: list[list[tuple[int, int]]] = [[]]  # by depth: vocabulary nodes that go on, with the depth they began at
         before = b""
         for piece in sorted(set(pieces)):
@@ -63,31 +82,98 @@ class UnigramTrie:
                 depth += 1
             del best[depth + 1 :], live[depth + 1 :]
             for d in range(depth, len(piece)):
-                b, here, top = piece[d], [], (-math.inf, 0)
+                b, here, top = piece[d], [], (-math.inf, 0, 0, 0)
                 for start, node in (*live[d], (d, 0)):
                     if (node := step(node << 8 | b)) is not None:
                         here.append((start, node))
                         if (own := score.get(node)) is not None:
-                            total, tokens = best[start]
-                            top = max(top, (total + own, tokens - 1))
+                            so_far = best[start]
+                            top = max(top, (so_far[0] + own, so_far[1] - 1, -start, node))
                 best.append(top)
                 live.append(here)
-            out[piece] = -best[-1][1]
             before = piece
+            yield piece, best
+
+    def counts(self, pieces: Iterable[bytes]) -> dict[bytes, int]:
+        """Tokens of the best segmentation of each piece; 0 for one that the vocabulary can't spell."""
+        return {piece: -best[-1][1] if best[-1][0] > -math.inf else 0 for piece, best in self.forward(pieces)}
+
+    def usage(self, pieces: dict[bytes, int]) -> Counter:
+        """Tokens (by rank) of the best segmentations of pieces, each with its piece's weight."""
+        out: Counter = Counter()
+        for piece, best in self.forward(pieces):
+            at, weight = len(piece), pieces[piece]
+            while at and best[at][0] > -math.inf:
+                _, _, start, node = best[at]
+                out[self.rank[node]] += weight
+                at = -start
         return out
 
 
-class TextCounter:
-    """(pre-tokens, tokens) of whole texts, batch by batch."""
+class SpacedTexts:
+    """Cuts texts at spaces where a match of the pattern always begins.
+
+    A space without white space on either side is such a place, for this package's
+    pattern; with another one a text stays whole.
+    """
 
     AT_ONCE = 1 << 22
 
-    def __init__(self, data: bytes, pattern: str):
-        self.trie = UnigramTrie(parse_ranks(data))
-        self.pattern = regex.compile(pattern)
-        self.seams = pattern == public_tokenizers.PATTERN  # where a space with no white space beside it begins a match
+    def __init__(self, pattern: str):
+        self.pattern, self.seams = regex.compile(pattern), pattern == public_tokenizers.PATTERN
+
+    def cut(self, texts: list[str]) -> tuple[set[str], list[tuple[list[str], tuple[str, ...]]]]:
+        """(distinct chunks; for each text its chunks, which stand for themselves with a space before, and its other parts)."""
+        parted = [t.split(" ") if self.seams and len(t) <= self.AT_ONCE else [t] for t in texts]
+        distinct = set().union(*(p[1:-1] for p in parted))
+        bad = {c for c in distinct if not c or c[0].isspace() or c[-1].isspace()}
+        out = []
+        for text, (first, *rest) in zip(texts, parted):
+            if rest and first and rest[-1] and not first[-1].isspace() and not rest[-1][0].isspace() and bad.isdisjoint(inner := rest[:-1]):
+                out.append((inner, (first, f" {rest[-1]}")))
+            else:
+                out.append(([], (text,)))
+        return distinct - bad, out
+
+    def matches(self, text: str) -> Iterator[list[str]]:
+        found = self.pattern.finditer(text)
+        while part := [m.group() for m in islice(found, 100_000)]:
+            yield part
+
+
+class PieceCounter:
+    """Pre-tokens of texts with their number."""
+
+    def __init__(self, pattern: str):
+        self.texts = SpacedTexts(pattern)
+        self.chunks: dict[str, list[str]] = {}
+
+    def count(self, texts: list[str]) -> Counter:
+        distinct, parted = self.texts.cut(texts)
+        if len(self.chunks) > CACHE_PIECES // 4:
+            self.chunks.clear()
+        find = self.texts.pattern.findall
+        self.chunks.update((c, find(f" {c}")) for c in distinct.difference(self.chunks))
+        chunks: Counter = Counter()
+        out: Counter = Counter()
+        for inner, loose in parted:
+            chunks.update(inner)
+            for x in loose:
+                for part in self.texts.matches(x):
+                    out.update(part)
+        for c, n in chunks.items():
+            for p in self.chunks[c]:
+                out[p] += n
+        return out
+
+
+class TextCounter:
+    """(pre-tokens, tokens) of whole texts, batch by batch."""
+
+    def __init__(self, ranks: dict[bytes, int], scores: dict[int, float], pattern: str):
+        self.trie, self.texts = UnigramTrie(ranks, scores), SpacedTexts(pattern)
         self.pieces: dict[str, int] = {}
-        self.chunks: dict[str, int | None] = {}
+        self.chunks: dict[str, int] = {}
 
     def learn(self, pieces: set[str]) -> None:
         new = {p: p.encode("utf-8") for p in pieces if p not in self.pieces}
@@ -99,64 +185,103 @@ class TextCounter:
 
     def whole(self, text: str) -> int:
         """Packed counts of a text, matched from end to end."""
-        found, total = self.pattern.finditer(text), 0
-        while part := [m.group() for m in islice(found, 100_000)]:
+        total = 0
+        for part in self.texts.matches(text):
             self.learn(set(part))
             total += sum(map(self.pieces.__getitem__, part))
         return total
 
     def _learn_chunks(self, new: set[str]) -> None:
-        split: dict[str, list[str]] = {}
-        for c in new:
-            if not c or c[0].isspace() or c[-1].isspace():
-                self.chunks[c] = None
-            else:
-                split[c] = self.pattern.findall(f" {c}")
+        split = {c: self.texts.pattern.findall(f" {c}") for c in new}
         self.learn({p for s in split.values() for p in s})
         for c, s in split.items():
             self.chunks[c] = sum(map(self.pieces.__getitem__, s))
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
-        parted = [t.split(" ") if self.seams and len(t) <= self.AT_ONCE else [t] for t in texts]
+        distinct, parted = self.texts.cut(texts)
         if len(self.chunks) > CACHE_PIECES:
             self.chunks.clear()
-        self._learn_chunks(set().union(*(p[1:-1] for p in parted)).difference(self.chunks))
-        out = []
-        for text, (first, *rest) in zip(texts, parted):
-            try:
-                if not rest or not first or first[-1].isspace() or not rest[-1] or rest[-1][0].isspace():
-                    raise TypeError
-                total = sum(map(self.chunks.__getitem__, rest[:-1])) + self.whole(first) + self.whole(f" {rest[-1]}")
-            except TypeError:  # some space is no seam
-                total = self.whole(text)
-            out.append((total >> 32, total & 0xFFFFFFFF))
-        return out
+        self._learn_chunks(distinct.difference(self.chunks))
+        totals = [sum(map(self.chunks.__getitem__, inner)) + sum(map(self.whole, loose)) for inner, loose in parted]
+        return [(n >> 32, n & 0xFFFFFFFF) for n in totals]
 
 
-_workers: dict[tuple[bytes, str], TextCounter] = {}
+def piece_counts(docs: DataFrame, text: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(piece, n): the distinct pre-tokens of all whole texts; partial sums leave each batch."""
 
+    def make():
+        counter = PieceCounter(pattern)
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rank_file: str = RANK_FILE, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``id_col``, ``n_pretokens`` and ``n_tokens`` of each whole text.
+        def work(batch: pa.RecordBatch) -> dict:
+            texts, found = [x for x in batch.column(0).to_pylist() if x], Counter()
+            for at in range(0, len(texts), TEXTS):
+                found.update(counter.count(texts[at : at + TEXTS]))
+            return {"piece": list(found), "n": list(found.values())}
 
-    A null or empty text has none; repeated rows each give a row; other columns are
-    ignored.
-    """
+        return work
+
+    return by_batch(docs.select(F.col(f"`{text}`").alias("text")), make, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def _ranks_of(rank_file: str) -> bytes:
     data = Path(rank_file).read_bytes()
     if len(data) > RANK_FILE_LIMIT:
         raise ValueError(f"{rank_file} has {len(data)} bytes; at most {RANK_FILE_LIMIT} are sent to the executors")
-    shared = docs.sparkSession.sparkContext.broadcast(data)
+    return data
+
+
+def learn_scores(docs: DataFrame, text: str = "text", rank_file: str = RANK_FILE, pattern: str = public_tokenizers.PATTERN, rounds: int = ROUNDS) -> dict[int, float]:
+    """Scores by rank, learned from all texts; those of the Zipf law where there are none."""
+    data = _ranks_of(rank_file)
+    ranks = parse_ranks(data)
+    scores = zipf_scores(ranks)
+    pieces = checkpointed(piece_counts(docs, text, pattern))
+    context = docs.sparkSession.sparkContext
+    for _ in range(rounds):
+        shared = context.broadcast((data, scores))  # the rank file and 8 bytes a rank
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, known = shared.value
+            trie, total = UnigramTrie(parse_ranks(own), known), Counter()
+            for batch in batches:
+                names, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                total.update(trie.usage({x.encode("utf-8"): k for x, k in zip(names, n)}))
+            yield pa.RecordBatch.from_pydict({"token": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
+
+        got = pieces.mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # a row a token at most
+        shared.destroy()
+        if not got.num_rows:
+            return scores
+        scores = scores_of(dict(zip(got.column("token").to_pylist(), got.column("n").to_pylist())), ranks)
+    return scores
+
+
+_workers: dict[tuple[bytes, str], TextCounter] = {}
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rank_file: str = RANK_FILE, pattern: str = public_tokenizers.PATTERN, scores: dict[int, float] | None = None) -> DataFrame:
+    """``id_col``, ``n_pretokens`` and ``n_tokens`` of each whole text, by ``scores`` (default: learned from ``docs``).
+
+    A null or empty text has none; a pre-token that the vocabulary can't spell counts no
+    tokens; repeated rows each give a row, and count each time where scores are learned;
+    other columns are ignored; an empty table gives an empty one.
+    """
+    data = _ranks_of(rank_file)
+    known = learn_scores(docs, text, rank_file, pattern) if scores is None else scores
+    order = sorted(known)
+    shared = docs.sparkSession.sparkContext.broadcast((data, np.array(order, "<i8").tobytes(), np.array([known[r] for r in order], "<f8").tobytes()))
 
     def make():
-        key = hashlib.sha256(shared.value).digest(), pattern
+        key = hashlib.sha256(b"".join(shared.value)).digest(), pattern
         if key not in _workers:
             _workers.clear()
-            _workers[key] = TextCounter(shared.value, pattern)
+            own, ids, values = shared.value
+            _workers[key] = TextCounter(parse_ranks(own), dict(zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(values, "<f8").tolist())), pattern)
         counter = _workers[key]
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            found = [n for at in range(0, len(texts), 500) for n in counter.count(texts[at : at + 500])]
+            found = [n for at in range(0, len(texts), TEXTS) for n in counter.count(texts[at : at + TEXTS])]
             return {"id": batch.column(0), "a": [n[0] for n in found], "b": [n[1] for n in found]}
 
         return work

@@ -1,50 +1,106 @@
 import math
 import random
+from collections import Counter
 
 import public_tokenizers
+import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm import token_counts as tc
 from plumbline.llm.bpe import RANK_FILE, parse_ranks
 
-DATA = open(RANK_FILE, "rb").read()
-COUNTER = tc.TextCounter(DATA, public_tokenizers.PATTERN)
-RANKS = parse_ranks(DATA)
-TOTAL = math.log(sum(1 / (r + tc.ZIPF_SHIFT) for r in RANKS.values()))
+RANKS = parse_ranks(open(RANK_FILE, "rb").read())
+LONGEST = max(map(len, RANKS))
+ZIPF = tc.zipf_scores(RANKS)
+COUNTER = tc.TextCounter(RANKS, ZIPF, public_tokenizers.PATTERN)
+PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
-def brute(piece):
-    best = [(0.0, 0)] + [(-math.inf, 0)] * len(piece)
+def segmented(piece, scores=ZIPF, ranks=RANKS):
+    """Tokens of the best segmentation: highest score, then fewest tokens, then the longest last token, and so on backwards."""
+    longest = LONGEST if ranks is RANKS else max(map(len, ranks))
+    best = [(0.0, 0, 0, None)] + [None] * len(piece)
     for end in range(1, len(piece) + 1):
-        for start in range(end):
-            if (rank := RANKS.get(piece[start:end])) is not None:
-                best[end] = max(best[end], (best[start][0] + tc.score_of(rank) - TOTAL, best[start][1] - 1))
-    return -best[-1][1]
+        for start in range(max(0, end - longest), end):
+            rank = ranks.get(piece[start:end])
+            if rank is not None and best[start] is not None:
+                found = (best[start][0] + scores[rank], best[start][1] - 1, -start, rank)
+                if best[end] is None or found[:3] > best[end][:3]:
+                    best[end] = found
+    out, at = [], len(piece)
+    while at and best[at]:
+        out.append(best[at][3])
+        at = -best[at][2]
+    return out
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["th", "the", "er", "tion", "é", "z", " ", "12"]), max_size=6).map("".join), max_size=20))
 def test_shared_prefixes_give_each_piece_its_own_count(pieces):
     found = COUNTER.trie.counts(p.encode() for p in pieces)
-    assert found == {p.encode(): brute(p.encode()) for p in pieces}
+    assert found == {p.encode(): len(segmented(p.encode())) for p in pieces}
+    weights = {p.encode(): k + 1 for k, p in enumerate(dict.fromkeys(pieces))}
+    expected = Counter()
+    for p, n in weights.items():
+        for rank in segmented(p):
+            expected[rank] += n
+    assert COUNTER.trie.usage(weights) == expected
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["the", " ", "  ", "\n", "a", "'s", "é", ".", " ", "12", "\t"]), max_size=20).map("".join))
 def test_text_counts(text):
-    pieces = COUNTER.pattern.findall(text)
-    assert COUNTER.count([text]) == [(len(pieces), sum(brute(p.encode()) for p in pieces))]
+    pieces = COUNTER.texts.pattern.findall(text)
+    assert COUNTER.count([text]) == [(len(pieces), sum(len(segmented(p.encode())) for p in pieces))]
+    assert tc.PieceCounter(public_tokenizers.PATTERN).count([text, text]) == Counter(pieces + pieces)
 
 
 def test_full_caches_change_nothing(monkeypatch):
     monkeypatch.setattr(tc, "CACHE_PIECES", 3)
-    own, rng = tc.TextCounter(DATA, public_tokenizers.PATTERN), random.Random(1)
+    own, rng = tc.TextCounter(RANKS, ZIPF, public_tokenizers.PATTERN), random.Random(1)
     texts = [" ".join(rng.choice(["one", "two", "three", "four.", "five\nsix"]) for _ in range(30)) for _ in range(20)]
     assert own.count(texts) == COUNTER.count(texts)
 
 
-def test_documents(awkward, docs):
-    got = {(r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in tc.token_counts(awkward).collect()}
-    assert got == {(r["doc_id"], *COUNTER.count([r["text"] or ""])[0]) for r in awkward.collect()}
+def plain_scores(texts, ranks, rounds=tc.ROUNDS):
+    pieces = Counter(p for t in texts for p in PATTERN.findall(t or ""))
+    scores = tc.zipf_scores(ranks)
+    for _ in range(rounds):
+        counts = Counter()
+        for p, n in pieces.items():
+            for rank in segmented(p.encode(), scores, ranks):
+                counts[rank] += n
+        total = sum(counts.values()) + len(ranks)
+        scores = {r: math.log((counts[r] + 1) / total) for r in ranks.values()}
+    return scores
+
+
+def test_documents_by_learned_scores(awkward, docs):
+    texts = {(r["doc_id"], r["text"]) for r in awkward.collect()}
+    every = [r["text"] for r in awkward.collect()]
+    learned, plain = tc.learn_scores(awkward), plain_scores(every, RANKS)
+    assert learned.keys() == plain.keys() and max(abs(learned[r] - plain[r]) for r in plain) < 1e-9
+    assert learned[RANKS[b" word"]] > ZIPF[RANKS[b" word"]] + 3
+    counter = tc.TextCounter(RANKS, learned, public_tokenizers.PATTERN)
+    expected = {(i, *counter.count([t or ""])[0]) for i, t in texts}
+    assert {(r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in tc.token_counts(awkward).collect()} == expected
     assert tc.token_counts(awkward).count() == awkward.count() and tc.token_counts(docs([])).isEmpty()
+
+
+def test_no_text_leaves_the_first_scores(docs):
+    assert tc.learn_scores(docs([(1, None, "en", "a"), (2, "", "en", "a")])) == ZIPF
+
+
+def test_pieces_that_the_vocabulary_cant_spell(docs, tmp_path):
+    (tmp_path / "ranks").write_bytes(b"YQ== 0\nYWE= 1\nIA== 2\n")  # a, aa and a space
+    rows = docs([(1, "aaa b aa", "en", "a"), (2, "b", "en", "a")])
+    got = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in tc.token_counts(rows, rank_file=str(tmp_path / "ranks")).collect()}
+    assert got == {1: (3, 4), 2: (1, 0)}
+
+
+@pytest.mark.parametrize("scores, tokens", [({0: -1.0, 1: -2.0, 2: -9.0}, 2), ({0: -1.0, 1: -2.5, 2: -9.0}, 4)])
+def test_ties_take_fewer_tokens(scores, tokens):
+    ranks = {b"a": 0, b"aa": 1, b" ": 2}
+    assert tc.UnigramTrie(ranks, scores).counts([b"aaaa"]) == {b"aaaa": tokens}
