@@ -9,8 +9,11 @@ the whole run below is passed over.
 Distribution: the top of the index is a cut of the Gray order into runs by
 common prefix, chosen from at most 2**16 counts.  A fingerprint is sent to its
 own run and to each later run whose prefix differs from it in at most
-``max_distance`` bits; each run is then searched by one task with its own lower
-levels.  A task keeps a spanning forest of the links it finds, not all pairs
+``max_distance`` bits, which a table tells from the prefix with up to that many bits
+flipped.  A run that the prefixes can't split further is split by hash into pieces of
+about ``RUN_SIZE``, and what visits a run into shares of about ``VISITORS``; a task
+searches one piece, with its own lower levels, for one share.
+A task keeps a spanning forest of the links it finds, not all pairs
 (a fingerprint has at most 2,080 others within two bits, so the pairs it looks
 at are bounded too), and the forests are joined by ``connected_components``.
 """
@@ -26,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import by_batch, checkpointed, ddl
-from plumbline.llm.components import connected_components
+from plumbline.llm.components import Forest, connected_components
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
 #: Depth of the prefixes that are counted for the cut, and fingerprints aimed at in a run.
 CUT_BITS, RUN_SIZE = 16, 8192
+#: Fingerprints of other runs or pieces aimed at in a task.
+VISITORS = 2 * RUN_SIZE
 FANOUT = 8
-_CHUNK = 50_000
+_CHUNK, _ROUTED = 50_000, 10_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -111,33 +116,14 @@ class GrayIndex:
         return q, node
 
 
-class Forest:
-    """Union-find that tells whether a link joined two trees."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (p := up.setdefault(x, x)) != x:
-            up[x] = up[p]
-            x = p
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def spanning_links(home: np.ndarray, visitors: np.ndarray, limit: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among ``home`` and from ``visitors`` to ``home``."""
+def spanning_links(home: np.ndarray, visitors: np.ndarray, limit: int, inside: bool = True) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links among ``home`` (if ``inside``) and from ``visitors`` to ``home``."""
     left: list[int] = []
     right: list[int] = []
     if not len(home):
         return left, right
     index, forest = GrayIndex(home), Forest()
-    for side in (index.codes, visitors):
+    for side in (index.codes, visitors) if inside else (visitors,):
         for at in range(0, len(side), 2048):
             part = side[at : at + 2048]
             q, t = index.search(part, limit)
@@ -173,31 +159,59 @@ def cut_runs(counts: dict[int, int], bits: int, run_size: int) -> list[tuple[int
     return runs
 
 
-def _route(runs: list[tuple[int, int]], limit: int):
-    masks = np.array([(0xFFFFFFFFFFFFFFFF << (64 - d)) & 0xFFFFFFFFFFFFFFFF for _, d in runs], np.uint64)
-    patterns = np.array([(p << (64 - d)) & 0xFFFFFFFFFFFFFFFF for p, d in runs], np.uint64)
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            codes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            run, code, own = [], [], []
-            step = max(1, 2_000_000 // len(runs))
-            for at in range(0, len(codes), step):
-                part = codes[at : at + step]
-                apart = np.bitwise_count((part[:, None] ^ patterns) & masks)
-                home = np.argmin(apart, axis=1)  # the one run at no difference
-                q, r = np.nonzero((apart <= limit) & (np.arange(len(runs)) >= home[:, None]))
-                run.append(r.astype(np.int32))
-                code.append(part[q])
-                own.append(r == home[q])
-            return {"run": np.concatenate(run), "code": np.concatenate(code).view(np.int64), "own": np.concatenate(own)}
-
-        return work
-
-    return make
-
-
-def fingerprint_links(distinct: DataFrame, code: str, limit: int = MAX_DISTANCE, run_size: int = RUN_SIZE, bits: int = CUT_BITS) -> DataFrame:
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0..n-1 for each n, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+class Router:
+    """Which tasks (run, piece, share) a fingerprint is sent to."""
+
+    def __init__(self, runs: list[tuple[int, int]], counts: dict[int, int], limit: int, bits: int, run_size: int, visitors: int):
+        self.bits = np.uint64(64 - bits)
+        self.run_of = np.full(1 << bits, -1, np.int32)
+        for k, (prefix, depth) in enumerate(runs):
+            self.run_of[prefix << (bits - depth) : (prefix + 1) << (bits - depth)] = k
+        flips = [0]
+        for _ in range(limit):
+            flips = sorted({f ^ bit for f in flips for bit in (0, *(1 << b for b in range(bits)))})
+        self.flips = np.array(flips, np.int64)
+        prefixes, weights = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+        q, run, own = self._runs(prefixes)
+        total = lambda which: np.bincount(run[which], weights[q[which]], len(runs))
+        self.pieces = np.maximum(1, np.ceil(total(own) / run_size)).astype(np.int64)
+        self.shares = np.maximum(1, np.ceil((total(~own) + total(own) * (self.pieces > 1)) / visitors)).astype(np.int64)
+
+    def _runs(self, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the prefix, run, whether it is its own) for its own and later runs within the limit, each once."""
+        home = self.run_of[prefixes]
+        found = np.sort(self.run_of[prefixes[:, None] ^ self.flips], axis=1)
+        once = np.diff(found, axis=1, prepend=np.int32(-2)) != 0
+        q, at = np.nonzero(once & (found >= home[:, None]))
+        run = found[q, at]
+        return q, run, run == home[q]
+
+    def route(self, codes: np.ndarray) -> dict[str, np.ndarray]:
+        q, run, own = self._runs((codes >> self.bits).astype(np.int64))
+        code = codes[q]
+        h = ((code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        piece, share = h.astype(np.int64) % self.pieces[run], (h.astype(np.int64) // 7919) % self.shares[run]
+        parts = []
+        for which, n, fixed in (
+            (own, self.shares, "own"),  # to its own piece, once for each share of visitors
+            (own, None, "before"),  # as a visitor to the pieces of its run before its own
+            (~own, self.pieces, "visit"),  # to all pieces of another run
+        ):
+            r, c, p, x = run[which], code[which], piece[which], share[which]
+            times = p if n is None else n[r]
+            step = _ramp(times)
+            r, c, p, x = (np.repeat(v, times) for v in (r, c, p, x))
+            parts.append((r, p if fixed == "own" else step, step if fixed == "own" else x, c, np.full(len(r), fixed == "own")))
+        r, p, x, c, o = (np.concatenate(v) for v in zip(*parts))
+        return {"run": r.astype(np.int32), "piece": p.astype(np.int32), "share": x.astype(np.int32), "code": c.view(np.int64), "own": o}
+
+
+def fingerprint_links(distinct: DataFrame, code: str, limit: int = MAX_DISTANCE, run_size: int = RUN_SIZE, bits: int = CUT_BITS, visitors: int = VISITORS) -> DataFrame:
     """Links (u, v) that connect all distinct codes within ``limit`` bits of each other.
 
     ``code`` is a column of distinct signed 64-bit values.  The links are a union
@@ -210,15 +224,25 @@ def fingerprint_links(distinct: DataFrame, code: str, limit: int = MAX_DISTANCE,
     runs = cut_runs(counts, bits, run_size)
     if not runs:
         return distinct.sparkSession.createDataFrame([], schema)
-    routed = by_batch(distinct.select(code), _route(runs, limit), "run int, code long, own boolean")
+    router = Router(runs, counts, limit, bits, run_size, visitors)  # a few numbers for each prefix and run
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            codes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            parts = [router.route(codes[at : at + _ROUTED]) for at in range(0, len(codes), _ROUTED)]
+            return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+        return work
+
+    routed = by_batch(distinct.select(code), make, "run int, piece int, share int, code long, own boolean")
 
-    def search(group: pa.Table) -> pa.Table:
+    def search(key: tuple, group: pa.Table) -> pa.Table:
         codes = group.column("code").to_numpy().view(np.uint64)
         own = group.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        u, v = spanning_links(codes[own], codes[~own], limit)
+        u, v = spanning_links(codes[own], codes[~own], limit, key[2].as_py() == 0)
         return pa.table({"u": np.array(u, np.uint64).view(np.int64), "v": np.array(v, np.uint64).view(np.int64)})
 
-    return routed.groupBy("run").applyInArrow(search, schema)
+    return routed.groupBy("run", "piece", "share").applyInArrow(search, schema)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -243,7 +267,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     the row itself included.  Null, empty and blank texts have fingerprint zero
     and are linked like any other; equal texts always share a component; rows
     that repeat an id each get a row; a null id gets a row and never becomes a
-    component_id unless a component has no other.  Other columns are ignored.
+    component_id unless a component has no other.  Other columns are ignored; an
+    empty table gives an empty one.
     ``more`` holds further links (u, v) between fingerprints.
     """
     code, least = "_code", "_least"

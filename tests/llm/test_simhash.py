@@ -52,8 +52,8 @@ def near(code, bits, rng):
     return code
 
 
-@pytest.mark.parametrize("run_size", [4, 50, 10_000])
-def test_links_connect_what_all_pairs_connect(spark, run_size):
+@pytest.mark.parametrize("run_size, bits, visitors", [(4, 16, 10_000), (50, 16, 10_000), (10_000, 16, 10_000), (20, 3, 30), (1000, 1, 40), (40, 2, 10_000)])
+def test_links_connect_what_all_pairs_connect(spark, run_size, bits, visitors):
     rng = random.Random(run_size)
     codes = {rng.getrandbits(64) for _ in range(150)} | {0, 2**64 - 1}
     for c in list(codes)[:60]:
@@ -62,7 +62,7 @@ def test_links_connect_what_all_pairs_connect(spark, run_size):
     codes = sorted(codes | {near(hub, 1, rng) for _ in range(64)} | {near(hub, 2, rng) for _ in range(200)})
     signed = np.array(codes, np.uint64).view(np.int64).tolist()
     frame = spark.createDataFrame([(c,) for c in signed], "code long")
-    links = simhash.fingerprint_links(frame, "code", run_size=run_size)
+    links = simhash.fingerprint_links(frame, "code", run_size=run_size, bits=bits, visitors=visitors)
     found = {r["node"]: r["root"] for r in connected_components(links).collect()}
     expected = brute_components(codes, list(range(len(codes))))
     groups = {}
@@ -86,6 +86,19 @@ def test_runs_cover_each_prefix_once():
         assert sum(k >> (8 - d) == p for p, d in runs) == 1
 
 
+def test_no_task_gets_more_than_its_share():
+    rng = np.random.default_rng(6)
+    codes = np.unique(np.concatenate([rng.integers(0, 1 << 44, 30_000, np.uint64), rng.integers(0, 1 << 63, 5_000, np.uint64)]))  # most of them share 20 bits
+    counts = {int(k): int(n) for k, n in zip(*np.unique(codes >> np.uint64(48), return_counts=True))}
+    router = simhash.Router(simhash.cut_runs(counts, 16, 1000), counts, 2, 16, 1000, 4000)
+    sent = router.route(codes)
+    groups = {}
+    for *key, own in zip(sent["run"].tolist(), sent["piece"].tolist(), sent["share"].tolist(), sent["own"].tolist()):
+        groups.setdefault(tuple(key), [0, 0])[not own] += 1
+    assert max(g[0] for g in groups.values()) < 1300 and max(g[1] for g in groups.values()) < 6000
+    assert len(np.unique(sent["code"])) == len(codes)
+
+
 def test_components_of_a_chain_a_star_and_repeats(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 4), (200, 201), (201, 200)]
     found = dict(tuple(r) for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect())
