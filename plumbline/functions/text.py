@@ -30,7 +30,7 @@ def markdown_anchor(heading: Column) -> Column:
 def markdown_cell(text: Column) -> Column:
     """line breaks become ``<br/>``, save before an indented bullet."""
     plain = F.regexp_replace(text, "\r\n?", "\n")
-    return F.regexp_replace(plain, r"\n(?!\s+-)", "<br/>")
+    return F.regexp_replace(plain, r"\n(?![^\S\n]+-)", "<br/>")
 
 
 def mermaid_name(name: Column) -> Column:
@@ -48,11 +48,6 @@ def type_base(sql_type: Column) -> Column:
     return F.lower(F.substring_index(sql_type, "(", 1))
 
 
-def boolean_text(value: Column) -> Column:
-    """F5."""
-    return value.cast("string")
-
-
 def iso_timestamp(ts: Column) -> Column:
     """F16: ISO-8601 with seven fractional digits."""
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0"))
@@ -74,7 +69,18 @@ def dbml_string(text: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(flat, r'(["\\])', r"\\$1"), F.lit('"'))
 
 
+#: Badges of the sensitivity levels.
+BADGES = {"pii": "🔴 PII", "confidential": "🟡 Confidential", "internal": "🔵 Internal", "public": "🟢 Public"}
+
+
 def sensitivity_badge(value: Column) -> Column:
-    """a badge for what must be handled with care."""
-    level = F.lower(value)
-    return F.when(level == "pii", "PII").when(level.isin("confidential", "internal", "public"), F.initcap(level)).otherwise(value)
+    """the badge of a level, case ignored; empty for any other value."""
+    pairs = [F.lit(x) for pair in BADGES.items() for x in pair]
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(value)), F.lit(""))
+
+
+def ordered(*columns: str | Column):
+    """A window over all rows in an order, for tables of a few rows."""
+    from pyspark.sql import Window
+
+    return Window.orderBy(*columns)

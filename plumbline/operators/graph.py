@@ -7,7 +7,7 @@ grow by one join a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.shared import checkpointed
@@ -104,9 +104,10 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "table_key", local_ed
 
 
 def topological_order(tables: DataFrame, fks: DataFrame) -> DataFrame:
-    """G1: (table_key, name, level, position): by level, then by input position."""
-    found = levels(tables, fk_edges(tables, fks))
-    return tables.select("table_key", "name", "input_position").join(found.withColumnRenamed("node", "table_key"), "table_key")
+    """G1: (table_key, name, level, position): by level, then by name; each target comes before its sources."""
+    found = levels(tables, fk_edges(tables, fks)).withColumnRenamed("node", "table_key")
+    place = F.row_number().over(Window.orderBy("level", "table_key"))  # a row a table
+    return tables.select("table_key", "name").join(found, "table_key").withColumn("position", place)
 
 
 def parent_cycles(parents: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""All queries of the engine proper and their SQL, by name.
+"""The queries of the engine proper and their SQL, by name.
 
 A query is a function (spark, sf_dir) -> DataFrame; ``query`` files it under its name
-with the SQL that DuckDB can run on the same tables, if there is any.
+with the SQL that DuckDB can run on the same tables, if there is any.  Those over
+documents, parsers and catalogs are in ``documents``.
 """
 
 from __future__ import annotations
@@ -13,41 +14,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions import types as types_
-from plumbline.model import SECTION_DDL, TENANT_DATABASE_DDL, TENANT_TYPE_DDL, Registry, frame
+from plumbline.model import SECTION_DDL, TENANT_DATABASE_DDL, TENANT_TYPE_DDL, frame
 from plumbline.operators import capture, diff, erd, filters, graph, merge, validate
 from plumbline.plans import declared as D
+from plumbline.plans import documents  # noqa: F401  files its queries
+from plumbline.plans.register import ORACLES, QUERIES, live, query, read, repo, rules  # noqa: F401
 from plumbline.sources import catalog as live_catalog
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def file(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql
-        return f
-
-    return file
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def repo(spark: SparkSession) -> Registry:
-    return Registry.of(spark, D.repo_documents())
-
-
-def live(spark: SparkSession) -> Registry:
-    return Registry.of(spark, D.live_documents())
-
-
-def rules(spark: SparkSession) -> Registry:
-    return Registry.of(spark, D.rule_documents(), D.SECTIONS, D.ENDPOINTS)
-
-
 # Row diffs
 
 
@@ -317,13 +290,6 @@ def merge_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_session(repo(spark), live(spark))
 
 
-@query()
-def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole merged documents, as JSON."""
-    merged = merge.merge_documents(repo(spark), live(spark))
-    return merged.select(F.lower("name").alias("table_key"), F.to_json(F.struct(*merged.columns)).alias("document"))
-
-
 # Integrity of data
 
 
@@ -668,62 +634,3 @@ SELECT table_key, ordinal, rtrim('        ' || lower(split_part(type, '(', 1)) |
 def erd_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of a section's diagram."""
     return erd.erd_fields(rules(spark), "core", "all")
-
-
-# Documents and parsers (tests carry their correctness)
-
-
-def _lines(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
-
-
-@query()
-def database_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry as Markdown, by line."""
-    from plumbline.sinks import render
-
-    return _lines(spark, render.document_database(rules(spark), section_order=D.SECTION_ORDER))
-
-
-@query()
-def dbml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repo as DBML, parsed again, as fields."""
-    from plumbline.sinks import render
-    from plumbline.sources.dbml import parse_dbml
-
-    return Registry.of(spark, parse_dbml(render.document_database(repo(spark), "dbml")).tables).fields
-
-
-@query()
-def prisma_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small model file, as fields."""
-    from plumbline.sources.prisma import parse_prisma
-
-    text = 'datasource db {\n  provider = "postgresql"\n}\nmodel User {\n  id Int @id @default(autoincrement())\n  name String? @db.VarChar(40)\n  posts Post[]\n  @@map("users")\n}\nmodel Post {\n  id BigInt @id\n  authorId Int\n  author User @relation(fields: [authorId], references: [id], onDelete: Cascade)\n  @@index([authorId])\n}\n'
-    return Registry.of(spark, parse_prisma(text).tables).fields
-
-
-@query()
-def json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON Schema of each document kind."""
-    import json
-
-    from plumbline.sinks.writers import json_schema as schema_of
-
-    return spark.createDataFrame([(k, json.dumps(schema_of(k))) for k in ("table", "section", "api", "config")], "kind string, schema string")
-
-
-@query()
-def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2/K7: the report of a drift session, by line."""
-    from plumbline.sinks import render
-
-    return _lines(spark, render.drift_report(repo(spark), live(spark))[0])
-
-
-@query()
-def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of a merge session, by line."""
-    from plumbline.sinks import render
-
-    return _lines(spark, render.merge_report(repo(spark), live(spark))[0])

@@ -32,3 +32,13 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing will read again, wherever it lies."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file through Hadoop's file systems, wherever the path lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()

@@ -35,6 +35,9 @@ FOREIGN_KEYS = "table_schema string, table_name string, constraint_name string,
 GENERATED = "table_schema string, table_name string, column_name string, expression string, extra string"
 INDEX_COLUMNS = "table_schema string, table_name string, index_name string, ordinal int, column_name string, is_unique boolean, is_included boolean, filter string"
 CHECKS = "table_schema string, table_name string, name string, expression string, columns array<string>"
+#: What a PostgreSQL catalog has for INDEX_COLUMNS.
+INDEX_KEYS = "table_schema string, table_name string, table_oid bigint, index_name string, attnums array<int>, n_keys int, is_unique boolean, filter string"
+ATTRIBUTES = "table_oid bigint, attnum int, column_name string"
 UNIQUE_COLUMNS = "table_schema string, table_name string, name string, ordinal int, column_name string"
 
 _SYSTEM = "('pg_catalog', 'information_schema')"
@@ -46,6 +49,20 @@ CATALOG_SQL = {
             FROM information_schema.columns c JOIN information_schema.tables t USING (table_catalog, table_schema, table_name) WHERE c.table_schema NOT IN {_SYSTEM}""",
         "keys": f"""SELECT k.table_schema, k.table_name, k.ordinal_position AS ordinal, k.column_name FROM information_schema.table_constraints t
             JOIN information_schema.key_column_usage k USING (constraint_schema, constraint_name, table_name) WHERE t.constraint_type = 'PRIMARY KEY' AND k.table_schema NOT IN {_SYSTEM}""",
+        "foreign_keys": f"""SELECT k.table_schema, k.table_name, k.constraint_name, k.column_name AS source_field, u.table_schema AS target_schema, u.table_name AS target_name, u.column_name AS target_field, r.delete_rule
+            FROM information_schema.referential_constraints r
+            JOIN information_schema.key_column_usage k ON k.constraint_schema = r.constraint_schema AND k.constraint_name = r.constraint_name
+            JOIN information_schema.key_column_usage u ON u.constraint_schema = r.unique_constraint_schema AND u.constraint_name = r.unique_constraint_name AND u.ordinal_position = k.position_in_unique_constraint
+            WHERE k.table_schema NOT IN {_SYSTEM}""",
+        "generated": f"SELECT table_schema, table_name, column_name, generation_expression AS expression, 'STORED' AS extra FROM information_schema.columns WHERE is_generated = 'ALWAYS' AND table_schema NOT IN {_SYSTEM}",
+        "index_keys": f"""SELECT n.nspname AS table_schema, t.relname AS table_name, x.indrelid::bigint AS table_oid, i.relname AS index_name, x.indkey::int2[]::int[] AS attnums, x.indnkeyatts::int AS n_keys, x.indisunique AS is_unique, pg_get_expr(x.indpred, x.indrelid) AS filter
+            FROM pg_index x JOIN pg_class i ON i.oid = x.indexrelid JOIN pg_class t ON t.oid = x.indrelid JOIN pg_namespace n ON n.oid = t.relnamespace WHERE NOT x.indisprimary AND n.nspname NOT IN {_SYSTEM}""",
+        "attributes": "SELECT attrelid::bigint AS table_oid, attnum::int AS attnum, attname AS column_name FROM pg_attribute WHERE attnum > 0 AND NOT attisdropped",
+        "checks": f"""SELECT n.nspname AS table_schema, t.relname AS table_name, c.conname AS name, pg_get_expr(c.conbin, c.conrelid) AS expression,
+            ARRAY(SELECT a.attname::text FROM pg_attribute a WHERE a.attrelid = c.conrelid AND a.attnum = ANY(c.conkey) ORDER BY a.attnum) AS columns
+            FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid JOIN pg_namespace n ON n.oid = t.relnamespace WHERE c.contype = 'c' AND n.nspname NOT IN {_SYSTEM}""",
+        "unique_columns": f"""SELECT k.table_schema, k.table_name, k.constraint_name AS name, k.ordinal_position AS ordinal, k.column_name FROM information_schema.table_constraints t
+            JOIN information_schema.key_column_usage k USING (constraint_schema, constraint_name, table_name) WHERE t.constraint_type = 'UNIQUE' AND k.table_schema NOT IN {_SYSTEM}""",
         "counts": "SELECT n.nspname AS table_schema, c.relname AS table_name, GREATEST(0, c.reltuples)::bigint AS n_rows FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE c.relkind = 'r'",
     },
     "mysql": {
@@ -53,6 +70,15 @@ CATALOG_SQL = {
             c.character_maximum_length AS length, c.numeric_precision AS `precision`, c.numeric_scale AS scale, c.is_nullable = 'YES' AS nullable, c.column_default AS `default`
             FROM information_schema.columns c JOIN information_schema.tables t ON t.table_schema = c.table_schema AND t.table_name = c.table_name WHERE c.table_schema = DATABASE()""",
         "keys": "SELECT table_schema, table_name, ordinal_position AS ordinal, column_name FROM information_schema.key_column_usage WHERE constraint_name = 'PRIMARY' AND table_schema = DATABASE()",
+        "foreign_keys": """SELECT k.table_schema, k.table_name, k.constraint_name, k.column_name AS source_field, k.referenced_table_schema AS target_schema, k.referenced_table_name AS target_name, k.referenced_column_name AS target_field, r.delete_rule
+            FROM information_schema.key_column_usage k JOIN information_schema.referential_constraints r ON r.constraint_schema = k.constraint_schema AND r.constraint_name = k.constraint_name
+            WHERE k.referenced_table_name IS NOT NULL AND k.table_schema = DATABASE()""",
+        "generated": "SELECT table_schema, table_name, column_name, generation_expression AS expression, extra FROM information_schema.columns WHERE generation_expression IS NOT NULL AND table_schema = DATABASE()",
+        "index_columns": "SELECT table_schema, table_name, index_name, seq_in_index - 1 AS ordinal, column_name, FALSE AS is_unique, FALSE AS is_included FROM information_schema.statistics WHERE non_unique = 1 AND column_name IS NOT NULL AND table_schema = DATABASE()",
+        "checks": """SELECT t.table_schema, t.table_name, c.constraint_name AS name, c.check_clause AS expression FROM information_schema.check_constraints c
+            JOIN information_schema.table_constraints t ON t.constraint_schema = c.constraint_schema AND t.constraint_name = c.constraint_name AND t.constraint_type = 'CHECK' WHERE t.table_schema = DATABASE()""",
+        "unique_columns": """SELECT k.table_schema, k.table_name, k.constraint_name AS name, k.ordinal_position AS ordinal, k.column_name FROM information_schema.table_constraints t
+            JOIN information_schema.key_column_usage k ON k.constraint_schema = t.constraint_schema AND k.constraint_name = t.constraint_name AND k.table_name = t.table_name WHERE t.constraint_type = 'UNIQUE' AND t.table_schema = DATABASE()""",
         "counts": "SELECT table_schema, table_name, table_rows AS n_rows FROM information_schema.tables WHERE table_schema = DATABASE()",
     },
 }
@@ -144,6 +170,34 @@ def from_rows(
     return docs.select(*[member(f) for f in whole.fields])
 
 
+def shaped(df: DataFrame, ddl: str) -> DataFrame:
+    """A relation with the columns and types of ``ddl``; what it lacks is null."""
+    from pyspark.sql.types import StructType
+
+    have = {c.lower(): c for c in df.columns}
+    return df.select(*[(F.col(f"`{have[f.name]}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl).fields])
+
+
+def introspect(read: Callable[[str], DataFrame], provider: str | None = None, schemas: str | None = None, kind: str = "both") -> Registry:
+    """A live snapshot from ``read(relation)``, which gives the catalog relations of ``CATALOG_SQL``.
+
+    Indexes that serve a UNIQUE constraint of the same name are told as constraints only.
+    """
+    found = check_provider(provider)
+    rel = {n: shaped(read(n), d) for n, d in {"columns": COLUMNS, "keys": KEYS, "foreign_keys": FOREIGN_KEYS, "generated": GENERATED, "checks": CHECKS, "unique_columns": UNIQUE_COLUMNS}.items()}
+    if found == "postgres":
+        names = rel["unique_columns"].select("table_schema", "table_name", F.col("name").alias("index_name")).distinct()
+        indexes = postgres_index_columns(shaped(read("index_keys"), INDEX_KEYS), shaped(read("attributes"), ATTRIBUTES), names)
+    else:
+        indexes = shaped(read("index_columns"), INDEX_COLUMNS)
+    return Registry(from_rows(rel["columns"], rel["keys"], rel["foreign_keys"], rel["generated"], indexes, rel["checks"], rel["unique_columns"], found, schemas, kind))
+
+
+def jdbc_catalog(spark: SparkSession, url: str, provider: str | None = None, **options: str) -> Callable[[str], DataFrame]:
+    """``read`` for ``introspect`` over JDBC."""
+    return lambda relation: jdbc_relation(spark, url, provider or "mysql", relation, **options)
+
+
 def live_snapshot(connect: Callable[[], Registry] | None = None, folder: Callable[[], Registry] | None = None) -> Registry:
     """From a connection or a folder, exactly one of them."""
     if (connect is None) == (folder is None):

@@ -82,6 +82,11 @@ def raw_token(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+def data_row(text: str) -> dict[str, str]:
+    """A JSON object as raw tokens by member."""
+    return {k: raw_token(v) for k, v in json.loads(text, parse_float=_Raw, parse_int=_Raw).items()}
+
+
 def foreign_key(doc: dict) -> dict:
     """The legacy member ``soft`` means logical or physical and can't stand beside ``kind``."""
     fk = dict(doc)

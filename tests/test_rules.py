@@ -116,3 +116,19 @@ def test_skipped_folders(spark):
     from pyspark.sql import functions as F
 
     assert {r["p"] for r in paths.filter(filters.skipped_folder(F.col("p"), ["skip"])).collect()} == {"a/Skip/x.json"}
+
+
+def test_order_of_rows_with_ties_and_without_positions(spark):
+    rows = [(1, "b"), (1, "a"), (2, "a"), (3, None), (4, "z"), (None, "0"), (70_000, "y"), (140_000, "z"), (140_000, "x")]
+    frame = spark.createDataFrame(rows, "at long, k string")
+    got = sorted((r["at"], r["k"] or "") for r in validate.unordered_rows(frame, "at", ["k"], span=10).collect())
+    assert got == [(2, "a"), (3, ""), (70_000, "y"), (140_000, "x")]
+    assert validate.unordered_rows(frame.limit(0), "at", ["k"]).isEmpty()
+
+
+def test_members_of_broken_and_null_objects(spark):
+    frame = spark.createDataFrame([(1, '{"a":1,"b":2}'), (2, None), (3, "no json"), (4, "{}")], "id int, j string")
+    from pyspark.sql import functions as F
+
+    got = sorted(map(tuple, validate.member_problems(frame, "j", F.array(F.lit("a"), F.lit("c")), "id").collect()))
+    assert got == [(1, "missing", "c"), (1, "unknown", "b")] + [(i, "missing", x) for i in (2, 3, 4) for x in ("a", "c")]
