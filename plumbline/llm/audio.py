@@ -7,8 +7,9 @@ with hysteresis (a segment opens at the upper threshold and closes at the lower)
 Segments are cut into spans of ``TENSOR_FRAMES`` frames and stored as a fixed-shape
 Arrow tensor column with begin and end times.
 
-Each clip is worked on by itself in blocks of ``BLOCK_FRAMES`` frames, so equal clips
-have equal features and memory doesn't grow with a clip's length.
+Each clip is worked on by itself, so equal clips have equal features.  What takes many
+times a clip's size (windows, spectra) is made in blocks of ``BLOCK_FRAMES`` frames; the
+payload, its WAV form and the log-mel frames (less than the payload) are held whole.
 """
 
 from __future__ import annotations
@@ -186,7 +187,8 @@ def stored_clip(payload: bytes) -> tuple[bytes, bytes, list[dict], str]:
 def audio_columns(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col``, ``media`` (WAV bytes), ``tensors`` (Arrow stream of ``segment_tensors``) and ``spans`` of every row.
 
-    A null or empty text is 576 bytes of 255; repeated rows each give a row.
+    A null or empty text is 576 bytes of 255; repeated rows, and rows with a null id,
+    each give a row; other columns are ignored; an empty table gives an empty one.
     """
 
     def make():
@@ -213,7 +215,7 @@ def audio_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     n_bytes (before padding), payload_bytes, payload_sha256 and tail_crc32 (last 32
     bytes) of the payload as read back from the stored form, media_bytes and
     media_sha256 of that form, and ``feature``, which ends in the number of tensors
-    and the CRC-32 of their stream.
+    and the CRC-32 of their stream.  Null, empty and repeated rows are as there.
     """
 
     def make():

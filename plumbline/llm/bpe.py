@@ -221,7 +221,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """``id_col``, ``ids`` (array<int>) and ``decoded`` (binary) of each whole text.
 
     A null or empty text has no ids and decodes to no bytes.  Repeated ids and
-    texts each give a row; other columns are ignored.
+    texts each give a row; other columns are ignored; an empty table gives an empty one.
     """
     shared = _shared(docs, rank_file)
 

@@ -39,7 +39,7 @@ def boilerplate_lines(pages: DataFrame, site: str = "source", text: str = "text"
 
     Every row is a page.  Blank lines are never boilerplate; a line counts once a
     page.  Pages with a null site belong to no site and aren't counted; a null or
-    empty text is a page without lines.
+    empty text is a page without lines; an empty table gives no lines.
     """
     rows = pages.filter(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.col(text).alias("text"))
     totals = rows.groupBy("site").agg(F.count("*").alias("site_pages"))
@@ -54,7 +54,9 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
 
     The other lines keep their order and text.  A page of boilerplate only gets an
     empty text; a null text stays null; pages with a null site stay as they are.
-    ``dropped`` names a column for the number of lines taken out of each page.
+    ``dropped`` names a column for the number of lines taken out of each page; a column
+    of ``pages`` that has the name, in any case, is replaced.  Repeated rows are pages of
+    their own; an empty table stays empty.
     """
     lines = checkpointed(boilerplate_lines(pages, site, text, ratio, least_pages))
     mine, their, salt, n = (fresh(pages, x) for x in ("_lines", "_site", "_salt", "_dropped"))
@@ -70,11 +72,15 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
     kept = F.filter(all_lines, lambda x: ~F.array_contains(F.col(mine), _key(x)))
     clean = F.when(F.col(mine).isNull() | own.isNull(), own).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.col(mine).isNull() | own.isNull(), 0).otherwise(F.size(all_lines) - F.size(kept)).cast("long")
-    out = found.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns], *([count.alias(n)] if dropped else []))
+    out = found.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns if not dropped or c.lower() != dropped.lower()], *([count.alias(n)] if dropped else []))
     return out.withColumnRenamed(n, dropped) if dropped else out
 
 
 def dedup_documents(docs: DataFrame, ratio: float = BOILERPLATE_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``drop_boilerplate`` over documents by source, with n_chars following the text."""
+    """``drop_boilerplate`` over documents by source, with n_chars following the text.
+
+    Documents carry no host, so their source is the site.  A null text keeps a null
+    n_chars; all other cases are as in ``drop_boilerplate``.
+    """
     out = drop_boilerplate(docs, "source", "text", ratio, least_pages)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

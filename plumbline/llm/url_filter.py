@@ -56,6 +56,11 @@ def keys_of(host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
+def _labels(key: Column) -> Column:
+    """Labels of a key's host."""
+    return F.size(F.split(F.substring_index(key, "/", 1), r"\."))
+
+
 def verdicts(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """One row for each capture: id, host, fetch time, ``verdict`` and the entry behind it.
 
@@ -63,12 +68,15 @@ def verdicts(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     active at the fetch time (since <= time < until); on a tie block before allow,
     then the first list by name.  It is ``pass``, and list, key and since are null,
     where no entry is active, the URL is null or has no host, or the time is null.
-    Repeated captures each give a row; other columns are ignored.
+    Repeated captures each give a row; other columns are ignored; without captures
+    there are no rows, and without entries all pass.
     """
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url).alias("_url"), F.col(fetched).cast("timestamp_ntz").alias("_at"))
     spans = intervals(entries)
     urls = rows.filter("_url is not null").select("_url").distinct()
     keyed = urls.select("_url", F.explode(keys_of(host_of(F.col("_url")), path_of(F.col("_url")))).alias("_key"))
+    depths = [r[0] for r in spans.select(_labels(F.col("key")).alias("n")).distinct().collect()]  # a few small numbers
+    keyed = keyed.filter(_labels(F.col("_key")).isin(depths))  # a key like com, which every URL has, goes unless a list has such
     hits = keyed.join(spans, keyed._key == spans.key)
     entry = F.struct(
         (-F.length("key")).alias("longest"), F.when(F.col("action") == "block", 0).otherwise(1).alias("kind"),

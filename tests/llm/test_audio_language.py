@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 import random
 import wave
 from collections import Counter
@@ -60,6 +61,65 @@ def test_blocks_change_nothing(monkeypatch):
     assert np.allclose(audio.clip_features(media)[0], whole, atol=1e-3)
 
 
+def plain_mel(payload):
+    """Log-mel frames by definition: every resampled sample, Fourier sum and triangle by itself, frame after frame."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    h = audio.resampling_filter(audio.UP, audio.DOWN).astype(float)
+    half = audio.TAPS // 2
+
+    def sample(m):
+        centre, branch = divmod(m * audio.DOWN, audio.UP)
+        return sum(h[branch][audio.TAPS - 1 - k] * x[i] for k in range(audio.TAPS) if 0 <= (i := centre - half + 1 + k) < len(x))
+
+    rate = audio.RATE * audio.UP / audio.DOWN
+    count = max(1, 1 + math.ceil((math.ceil(len(x) * audio.UP / audio.DOWN) - audio.FRAME) / audio.HOP))
+    y = np.array([sample(m) for m in range((count - 1) * audio.HOP + audio.FRAME)])
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    bins = np.arange(audio.FRAME // 2 + 1)
+    waves = np.exp(-2j * np.pi * np.outer(bins, np.arange(audio.FRAME)) / audio.FRAME)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.FRAME) / (audio.FRAME - 1))
+    out = np.empty((count, audio.MELS))
+    for n in range(count):
+        power = np.abs(waves @ (y[n * audio.HOP : n * audio.HOP + audio.FRAME] * hann)) ** 2
+        for k in range(audio.MELS):
+            low, mid, high = edges[k : k + 3]
+            weights = [max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid))) for f in bins * rate / audio.FRAME]
+            out[n, k] = 10 * math.log10(power @ weights + 1e-6)
+    return out
+
+
+def plain_segments(energy):
+    """Frame by frame: a stretch not under the lower threshold counts if some frame of it reaches the upper one."""
+    level, out, begin, loud = float(np.median(energy)), [], None, False
+    for n, e in enumerate([*energy, -math.inf]):
+        if e - level >= audio.CLOSE_DB:
+            begin, loud = n if begin is None else begin, loud or e - level >= audio.OPEN_DB
+        else:
+            out += [(begin, n)] if begin is not None and loud else []
+            begin, loud = None, False
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "short", "Quiet ... LOUD!!! " * 150 + "\n" * 700 + "zzz ÿ漢 " * 60])
+def test_frames_and_features_against_a_plain_version(docs, text):
+    payload, _ = audio.payload_of(text)
+    mel, found = audio.clip_features(audio.to_wav(payload))
+    plain = plain_mel(payload)
+    assert mel.shape == plain.shape and np.allclose(mel, plain, atol=0.02)
+    assert found == plain_segments(mel.mean(axis=1))
+    frames, segments, sound, bands, tensors, _ = audio.audio_digests(docs([(1, text, "en", "a")])).first()["feature"].split(":")
+    assert (int(frames), int(segments), int(sound)) == (len(plain), len(found), sum(b - a for a, b in found))
+    assert int(tensors) == sum(math.ceil((b - a) / audio.TENSOR_FRAMES) for a, b in found)
+    assert all(abs(int(x) - 10 * y) <= 1 for x, y in zip(bands.split(","), plain.mean(axis=0)))
+
+
+def test_a_very_long_clip(docs):
+    rows = [(1, "some words and then more " * 60_000, "en", "a"), (None, None, "en", "a"), (2, None, "en", "a"), (2, None, "en", "a")]
+    got = audio.audio_digests(docs(rows)).collect()
+    assert len(got) == 4 and [r["n_bytes"] for r in got if r["doc_id"] == 1] == [1_500_000] and len({r["feature"] for r in got if r["doc_id"] != 1}) == 1
+
+
 def test_hysteresis():
     energy = np.array([0, 0, 0.6, 1.6, 1.2, 0.6, 0, 0.6, 0, 0, 0, 0, 0, 2.0])
     assert audio.segments(energy) == [(2, 6), (13, 14)]

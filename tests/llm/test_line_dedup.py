@@ -32,6 +32,12 @@ def test_dropped_lines_are_counted(docs):
     assert got[5] == 3 and got[21] == 0 and got[50] == 0 and got[52] == 0
 
 
+def test_a_column_named_as_the_count_is_replaced(docs):
+    frame = docs(ROWS).withColumnRenamed("score", "N_Dropped")
+    got = line_dedup.drop_boilerplate(frame, ratio=0.2, least_pages=3, dropped="n_dropped")
+    assert [c.lower() for c in got.columns].count("n_dropped") == 1 and {r["doc_id"]: r["n_dropped"] for r in got.collect()}[5] == 3
+
+
 def test_few_pages_and_the_ratio_itself_are_no_boilerplate(docs):
     rows = [(i, "same", "en", "a") for i in range(2)] + [(10 + i, "edge" if i < 3 else f"x{i}", "en", "b") for i in range(15)]
     assert [r["text"] for r in line_dedup.drop_boilerplate(docs(rows), ratio=0.2, least_pages=3).filter("source = 'a'").collect()] == ["same", "same"]
