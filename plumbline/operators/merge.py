@@ -64,16 +64,17 @@ def merge_fks(repo: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def merge_fk_changes(repo: DataFrame, live: DataFrame) -> DataFrame:
-    """(table_key, source_field, target_table, target_field, change): what a merge changes in foreign keys of any kind.
+    """What a merge changes in foreign keys of any kind, with the columns of ``fk_changes``.
 
     Added (live only), Removed (physical ones that live lacks) and CascadeDeleteChanged.
     """
     both = _sides(fk_keyed(repo), fk_keyed(live), FK_KEY)
     in_repo, in_live = F.col("r.table_key").isNotNull(), F.col("l.table_key").isNotNull()
     gone = ~in_live & (F.lower("r.kind") == "physical")
-    change = F.when(~in_repo, "Added").when(gone, "Removed").when(in_live & (F.col("r.cascade_delete") != F.col("l.cascade_delete")), "CascadeDeleteChanged")
+    kind = F.when(~in_repo, "Added").when(gone, "Removed").when(in_live & (F.col("r.cascade_delete") != F.col("l.cascade_delete")), "CascadeDeleteChanged")
     names = ("table_key", "source_field", "target_table", "target_field")
-    return both.select(*[F.coalesce(f"r.{c}", f"l.{c}").alias(c) for c in names], change.alias("change")).filter("change is not null")
+    value = lambda side: F.when(kind == "CascadeDeleteChanged", F.col(f"{side}.cascade_delete").cast("string"))
+    return both.select(*[F.coalesce(f"r.{c}", f"l.{c}").alias(c) for c in names], kind.alias("kind"), value("r").alias("old_value"), value("l").alias("new_value")).filter("kind is not null")
 
 
 def orphaned_data_keys(ref_rows: DataFrame, fields: DataFrame) -> DataFrame:

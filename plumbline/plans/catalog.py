@@ -270,7 +270,8 @@ _INDEX_LISTS = "(SELECT list({'n': name, 'c': columns, 'u': is_unique} ORDER BY
 
 
 _MERGE_FKS = """mfk_ AS (SELECT lower(coalesce(r.table_name, l.table_name)) AS table_key, coalesce(r.source_field, l.source_field) AS source_field, coalesce(r.target_table, l.target_table) AS target_table, coalesce(r.target_field, l.target_field) AS target_field,
-  CASE WHEN r.table_name IS NULL THEN 'Added' WHEN l.table_name IS NULL AND r.kind = 'physical' THEN 'Removed' WHEN r.cascade_delete <> l.cascade_delete THEN 'CascadeDeleteChanged' END AS change
+  CASE WHEN r.table_name IS NULL THEN 'Added' WHEN l.table_name IS NULL AND r.kind = 'physical' THEN 'Removed' WHEN r.cascade_delete <> l.cascade_delete THEN 'CascadeDeleteChanged' END AS kind,
+  CASE WHEN r.cascade_delete <> l.cascade_delete THEN CAST(r.cascade_delete AS VARCHAR) END AS old_value, CASE WHEN r.cascade_delete <> l.cascade_delete THEN CAST(l.cascade_delete AS VARCHAR) END AS new_value
   FROM r_fks r FULL JOIN l_fks l ON lower(r.table_name) = lower(l.table_name) AND lower(r.source_field) = lower(l.source_field) AND lower(r.target_table) = lower(l.target_table) AND lower(r.target_field) = lower(l.target_field)
   WHERE r.table_name IS NULL OR l.table_name IS NULL AND r.kind = 'physical' OR r.cascade_delete <> l.cascade_delete)"""
 
@@ -634,3 +635,6 @@ SELECT table_key, ordinal, rtrim('        ' || lower(split_part(type, '(', 1)) |
 def erd_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of a section's diagram."""
     return erd.erd_fields(rules(spark), "core", "all")
+
+
+from plumbline.plans import reports  # noqa: E402, F401  builds on the SQL above

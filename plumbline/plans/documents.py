@@ -17,7 +17,7 @@ from plumbline.functions import text as T
 from plumbline.model import Registry, frame, table_document, union_all
 from plumbline.operators import capture, filters, graph, merge, validate
 from plumbline.plans import declared as D
-from plumbline.plans.register import live, query, read, repo, rules
+from plumbline.plans.register import live, query, read, repo
 from plumbline.shared import put_text, shared_folder
 from plumbline.sources import catalog as live_catalog
 
@@ -494,42 +494,3 @@ def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return Outcome()
 
     return spark.createDataFrame([(n, guarded(run, n).code) for n, _ in _CODES], "error string, code int")
-
-
-# Reports
-
-
-def _lines(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
-
-
-@query()
-def database_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry as Markdown, by line."""
-    from plumbline.sinks import render
-
-    return _lines(spark, render.document_database(rules(spark), section_order=D.SECTION_ORDER))
-
-
-@query()
-def json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON Schema of each document kind."""
-    from plumbline.sinks.writers import json_schema as schema_of
-
-    return spark.createDataFrame([(k, json.dumps(schema_of(k))) for k in ("table", "section", "api", "config")], "kind string, schema string")
-
-
-@query()
-def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2/K7: the report of a drift session, by line."""
-    from plumbline.sinks import render
-
-    return _lines(spark, render.drift_report(repo(spark), live(spark))[0])
-
-
-@query()
-def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of a merge session, by line."""
-    from plumbline.sinks import render
-
-    return _lines(spark, render.merge_report(repo(spark), live(spark))[0])
