@@ -5,8 +5,12 @@ Imported after ``catalog``, whose SQL some of these build on.
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
 import re
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,12 +40,77 @@ def _cells(lines: list[str]) -> int:
     return len(rows) - 2 * len(rules_)
 
 
-@query()
+_MD_COLUMNS = """columns_ AS (SELECT %(p)sf.table_name, 'Field,Type,Nullable' || CASE WHEN bool_or(dflt <> '') THEN ',Default' ELSE '' END || CASE WHEN bool_or(is_computed) THEN ',Expression' ELSE '' END || CASE WHEN bool_or(sensitivity IS NOT NULL) THEN ',Sensitivity' ELSE '' END || ',Description' AS columns,
+  count(*) AS n_fields, count(*) FILTER (WHERE is_computed) AS n_computed, count(*) FILTER (WHERE is_deprecated) AS n_deprecated FROM %(p)sfields %(p)sf GROUP BY 1)"""
+_MD_ROWS = "coalesce(c.columns, '') AS columns, coalesce(c.n_fields, 0) AS n_fields, coalesce(n_computed, 0) AS n_computed, coalesce(n_deprecated, 0) AS n_deprecated"
+
+
+@query(f"""WITH {D.ctes('', D.rule_documents(), 'tables', 'fields')}, {D.ctes('r_', D.repo_documents(), 'tables', 'fields')}, {_MD_COLUMNS % {'p': ''}}, {(_MD_COLUMNS % {'p': 'r_'}).replace('columns_', 'r_columns_')},
+{D.cte('members', 'section VARCHAR, table_name VARCHAR', [(s.get('title') or s['name'], t) for s in D.SECTIONS for t in s['tables']])}
+SELECT m.section, coalesce(t.name, m.table_name) AS table_name, {_MD_ROWS} FROM members m LEFT JOIN tables t ON lower(t.name) = lower(m.table_name) LEFT JOIN columns_ c ON c.table_name = t.name
+UNION ALL SELECT 'All Tables', t.name, {_MD_ROWS} FROM r_tables t LEFT JOIN r_columns_ c ON c.table_name = t.name""")
 def database_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry as Markdown, by line."""
+    """Sections, tables and the columns of their field tables in the Markdown of two registries, read from its text."""
     from plumbline.sinks import render
 
-    return _lines(spark, render.document_database(rules(spark), section_order=D.SECTION_ORDER))
+    rows = []
+    for text in (render.document_database(rules(spark), section_order=D.SECTION_ORDER), render.document_database(repo(spark))):
+        for section, table, lines in _blocks(text):
+            if table:
+                first = next((i for i, line in enumerate(lines) if line.startswith("| Field |")), len(lines))
+                fields = list(itertools.takewhile(lambda line: line.startswith("|"), lines[first + 2 :]))
+                columns = ",".join(c.strip() for c in lines[first].strip("|").split("|")) if first < len(lines) else ""
+                rows.append((section, table, columns, len(fields), sum("`[C]`" in x for x in fields), sum(x.startswith("| ~~") for x in fields)))
+    return spark.createDataFrame(rows, "section string, table_name string, columns string, n_fields long, n_computed long, n_deprecated long")
+
+
+@query(f"SELECT severity, code, field FROM ({ORACLES['validate_tables']}) UNION ALL SELECT 'summary', 'errors', CAST(count(*) FILTER (WHERE severity = 'Error') AS VARCHAR) FROM ({ORACLES['validate_tables']}) UNION ALL SELECT 'summary', 'tables', CAST({len(D.rule_documents())} AS VARCHAR)")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: issues and counts of the JSON report of a validation, read from its text."""
+    from plumbline.plans.commands import check
+
+    report = json.loads(check(rules(spark)).text)
+    rows = [(x["severity"], x["code"], x["field"]) for x in report["issues"]] + [("summary", "errors", str(report["summary"]["errors"])), ("summary", "tables", str(report["summary"]["tablesScanned"]))]
+    return spark.createDataFrame(rows, "severity string, code string, field string")
+
+
+_STEPS = [("written", "one"), ("dry run over it", "one"), ("written over it", "two"), ("failed write", "two"), ("files beside it", "0"), ("removal without both flags", "two"), ("removal in a dry run", "two"), ("removal", "")]
+
+
+@query(f"WITH {D.cte('x', 'step VARCHAR, content VARCHAR', _STEPS)} SELECT * FROM x")
+def atomic_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file holds after each kind of write and removal (files of commands are the driver's own)."""
+    from plumbline.sinks.writers import delete_removed, write_text
+
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder, "a/b.txt")
+        content = lambda: path.read_text() if path.exists() else ""
+        write_text(path, "one")
+        rows.append(("written", content()))
+        write_text(path, "no", dry_run=True)
+        rows.append(("dry run over it", content()))
+        write_text(path, "two")
+        rows.append(("written over it", content()))
+        with contextlib.suppress(UnicodeEncodeError):
+            write_text(path, "broken \ud800")
+        rows += [("failed write", content()), ("files beside it", str(len(list(path.parent.iterdir())) - 1))]
+        for step, flags in (("removal without both flags", (True, False)), ("removal in a dry run", (True, True, True)), ("removal", (True, True))):
+            delete_removed([str(path)], *flags)
+            rows.append((step, content()))
+    return spark.createDataFrame(rows, "step string, content string")
+
+
+_VALUE = {"name": "a: b", "n": 1, "list": [1, "x", {"k": None, "deep": [True]}], "empty": [], "inner": {"t": "line\nbreak", "e": {}}}
+_YAML = ['name: "a: b"', "n: 1", "list:", "  - 1", '  - "x"', "  -", "    k: null", "    deep:", "      - true", "empty: []", "inner:", '  t: "line\\nbreak"', "  e: {}"]
+
+
+@query(f"WITH {D.cte('x', 'n INTEGER, line VARCHAR', list(enumerate(_YAML)))} SELECT * FROM x")
+def yaml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested value as YAML, by line."""
+    from plumbline.sinks.writers import formatted
+
+    return _lines(spark, formatted(_VALUE, "yaml").rstrip("\n"))
 
 
 _SCHEMAS = {

@@ -165,12 +165,22 @@ def output_path(default: str, output: str | None = None, output_dir: str | None
 
 
 def formatted(value: object, kind: str = "json") -> str:
-    """K14."""
+    """A value of maps, lists and scalars as JSON or YAML; scalars of YAML are written as JSON's, which it takes."""
     if kind == "json":
         return json.dumps(value, indent=2, ensure_ascii=False)
-    if isinstance(value, Mapping):
-        return "".join(f"{k}: {json.dumps(v, ensure_ascii=False)}\n" for k, v in value.items())
-    return json.dumps(value, ensure_ascii=False) + "\n"
+    return "\n".join(_yaml(value)) + "\n"
+
+
+def _yaml(value: object) -> list[str]:
+    """Lines of a value at the left edge."""
+    if not value or not isinstance(value, (Mapping, list)):
+        return [json.dumps(value, ensure_ascii=False)]
+    out = []
+    for head, v in ((f"{k}:", v) for k, v in value.items()) if isinstance(value, Mapping) else (("-", v) for v in value):
+        lines = _yaml(v)
+        nested = bool(v) and isinstance(v, (Mapping, list))
+        out += [head, *(f"  {line}" for line in lines)] if nested else [f"{head} {lines[0]}"]
+    return out
 
 
 def json_schema(kind: str) -> dict:
