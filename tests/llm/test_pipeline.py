@@ -80,3 +80,22 @@ def test_run_gives_the_last_stage(spark, corpus):
 
 def test_ten_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_stages_on_awkward_and_empty_tables(spark, corpus, awkward, docs):
+    folder, _ = corpus
+    long = docs([(70, " ".join(f"w{i % 900}x" for i in range(60_000)), "en", "b"), (70, "the same id with another text", "en", "b")])
+    rows = awkward.unionByName(long)
+    expected = {  # what each stage leaves of awkward rows by itself
+        "toxicity": [None, None, 1, 1, 2, 3, 4, 5, 6, 70, 70],
+        "line_dedup": [None, None, 1, 1, 2, 3, 4, 5, 6, 70, 70],
+        "near_dedup": [None, None, 1, 2, 5, 6, 70],  # 2, 3 and 4 have no words; a repeated id stays once; rows without an id stay
+        "decontamination": [None, None, 1, 1, 2, 3, 4, 5, 6, 70, 70],
+        "bpe": [None, None, 1, 1, 2, 3, 4, 5, 6, 70, 70],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, folder)
+        assert sorted((r["doc_id"] for r in got.select("doc_id").collect()), key=lambda x: (x is not None, x)) == expected[name], name
+        if name != "bpe":
+            assert got.columns == rows.columns, name
+        assert stage(spark, rows.limit(0), folder).isEmpty(), name
