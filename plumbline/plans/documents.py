@@ -454,7 +454,7 @@ def outside_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name || chr(10) || '  - a' || chr(10) || 'b' WHEN 1 THEN replace(s_name, '#', '"') WHEN 2 THEN s_name || chr(13) || chr(10) || 'x\\y' ELSE replace(s_name, '#', '.') END AS t, (['PII', 'internal', 'Public', 'secret', NULL])[s_suppkey % 5 + 1] AS level FROM supplier)
 SELECT s_suppkey, replace(replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(10) || '  -', chr(1)), chr(10), '<br/>'), chr(1), chr(10) || '  -') AS cell, '"' || replace(replace(replace(replace(t, '\\', '\\\\'), '"', '\\"'), chr(13), ''), chr(10), ' ') || '"' AS quoted,
   CASE WHEN regexp_full_match(t, '[\\p{L}\\p{Nd}_.]*') THEN t ELSE '"' || replace(replace(t, '\\', '\\\\'), '"', '\\"') || '"' END AS identifier, CASE lower(level) WHEN 'pii' THEN '🔴 PII' WHEN 'internal' THEN '🔵 Internal' WHEN 'public' THEN '🟢 Public' ELSE '' END AS badge,
-  list_filter(list_transform(string_split(' a,' || coalesce(level, '') || ', ,b ', ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM s""")
+  array_to_string(list_filter(list_transform(string_split(' a,' || coalesce(level, '') || ', ,b ', ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM s""")
 def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lists, table cells, quoted names and texts, and badges, as column expressions over data."""
     text = F.expr("case s_suppkey % 4 when 0 then s_name || '\\n  - a\\nb' when 1 then replace(s_name, '#', '\"') when 2 then s_name || '\\r\\nx\\\\y' else replace(s_name, '#', '.') end")
@@ -462,7 +462,7 @@ def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "supplier").select("s_suppkey", text.alias("t"), level.alias("level"))
     t = F.col("t")
     parts = T.split_list(F.concat(F.lit(" a,"), F.coalesce("level", F.lit("")), F.lit(", ,b ")))
-    return rows.select("s_suppkey", T.markdown_cell(t).alias("cell"), T.dbml_string(t).alias("quoted"), T.dbml_identifier(t).alias("identifier"), T.sensitivity_badge(F.col("level")).alias("badge"), parts.alias("parts"))
+    return rows.select("s_suppkey", T.markdown_cell(t).alias("cell"), T.dbml_string(t).alias("quoted"), T.dbml_identifier(t).alias("identifier"), T.sensitivity_badge(F.col("level")).alias("badge"), F.array_join(parts, "|").alias("parts"))
 
 
 _PATHS = [("default", "docs/database.md"), ("folder", "out/database.md"), ("file", "x/y.md"), ("both", "x/y.md")]
