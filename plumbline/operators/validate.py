@@ -20,6 +20,9 @@ DATABASE_TYPES = ("sqlserver", "mysql", "postgresql", "oracle", "sqlite")
 SENSITIVITIES = ("public", "internal", "confidential", "pii")
 
 
+# Codes, severities and message texts of the rules below are fixed values.
+
+
 def _text(template: str, *cols: Column | str) -> Column:
     return F.format_string(template.replace("%", "%%").replace("{}", "%s"), *cols)
 

@@ -113,14 +113,15 @@ def yaml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, formatted(_VALUE, "yaml").rstrip("\n"))
 
 
+#: Members of the document kinds' schemas.
 _SCHEMAS = {
-    "table": "name description descriptionAutoGenerated shortDescription isDeprecated deprecationMessage fields primaryKey foreignKeys databaseTypes sets sections isReferenceTable labelField data indexes checkConstraints uniqueConstraints",
-    "section": "name title description tables isModule erds",
-    "api": "name title version endpoints",
-    "config": "paths output referenceTables",
-}
-_REQUIRED = {"table": "name", "section": "name tables", "api": "name title version", "config": ""}
-_MEMBERS = [(k, m, m in _REQUIRED[k].split()) for k, v in _SCHEMAS.items() for m in v.split()]
+    "table": ["name", "description", "descriptionAutoGenerated", "shortDescription", "isDeprecated", "deprecationMessage", "fields", "primaryKey", "foreignKeys", "databaseTypes", "sets", "sections", "isReferenceTable", "labelField", "data", "indexes", "checkConstraints", "uniqueConstraints"],
+    "section": ["name", "title", "description", "tables", "isModule", "erds"],
+    "api": ["name", "title", "version", "endpoints"],
+    "config": ["paths", "output", "referenceTables"],
+}
+_REQUIRED = {"table": ["name"], "section": ["name", "tables"], "api": ["name", "title", "version"], "config": []}
+_MEMBERS = [(k, m, m in _REQUIRED[k]) for k, v in _SCHEMAS.items() for m in v]
 
 
 @query(f"WITH {D.cte('x', 'kind VARCHAR, member VARCHAR, required BOOLEAN', _MEMBERS)} SELECT * FROM x")

@@ -10,13 +10,14 @@ from plumbline.sources.dbml import ParsedModel
 
 #: Native types that are known, lower-case, with what is written for those spelt otherwise.
 NATIVE_TYPES = (
-    "varchar nvarchar char nchar text ntext tinytext mediumtext longtext tinyint smallint mediumint int unsignedint bigint decimal double doubleprecision float real "
-    "money smallmoney bit boolean date time datetime datetime2 datetimeoffset smalldatetime timestamp uniqueidentifier xml json jsonb uuid inet cidr objectid bytes "
-    "binary varbinary longblob mediumblob blob tinyblob bytea"
-).split()
+    "varchar", "nvarchar", "char", "nchar", "text", "ntext", "tinytext", "mediumtext", "longtext", "tinyint", "smallint", "mediumint", "int", "unsignedint", "bigint",
+    "decimal", "double", "doubleprecision", "float", "real", "money", "smallmoney", "bit", "boolean", "date", "time", "datetime", "datetime2", "datetimeoffset",
+    "smalldatetime", "timestamp", "uniqueidentifier", "xml", "json", "jsonb", "uuid", "inet", "cidr", "objectid", "bytes", "binary", "varbinary", "longblob",
+    "mediumblob", "blob", "tinyblob", "bytea",
+)
 NATIVE_SPELLINGS = {"unsignedint": "int unsigned", "doubleprecision": "double precision", "objectid": "objectId"}
 #: Native types that keep their arguments.
-NATIVE_SIZED = "varchar nvarchar char nchar decimal time datetime2 datetimeoffset binary varbinary".split()
+NATIVE_SIZED = ("varchar", "nvarchar", "char", "nchar", "decimal", "time", "datetime2", "datetimeoffset", "binary", "varbinary")
 PROVIDERS = {"sqlserver": "sqlserver", "mysql": "mysql", "postgresql": "postgres", "postgres": "postgres"}
 _BLOCK = re.compile(r"^[ \t]*(?P<kind>model|enum|datasource|generator|type|view)[ \t]+(?P<name>\w+)[ \t]*\{(?P<body>.*?)^[ \t]*\}[ \t]*$", re.M | re.S)
 _FIELD = re.compile(r"""^(?P<name>\w+)\s+(?P<type>Unsupported\("[^"]*"\)\??(?:\[\])?|[\w.]+(?:\[\])?\??)(?P<attrs>.*)$""")

@@ -50,16 +50,15 @@ def _snake(name: str) -> str:
     return re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
 
 
-#: Member names of documents, lower-case, with their names in the model.
-_MEMBERS = {
-    n.lower(): _snake(n)
-    for n in (
-        "name description descriptionAutoGenerated shortDescription isDeprecated deprecationMessage fields primaryKey foreignKeys databaseTypes sets sections "
-        "sourceFile isReferenceTable labelField data indexes checkConstraints uniqueConstraints type nullable isPrimaryKey isMatchColumn default isComputed "
-        "computedExpression isPersisted sensitivity sourceField targetTable targetField cascadeDelete kind soft columns isUnique isClustered isFiltered "
-        "filterExpression includedColumns expression column title tables isModule erds includeLogical includeVirtual"
-    ).split()
-}
+#: Member names of documents; the model has them in snake case.
+_NAMES = (
+    "name", "description", "descriptionAutoGenerated", "shortDescription", "isDeprecated", "deprecationMessage", "fields", "primaryKey", "foreignKeys", "databaseTypes",
+    "sets", "sections", "sourceFile", "isReferenceTable", "labelField", "data", "indexes", "checkConstraints", "uniqueConstraints", "type", "nullable", "isPrimaryKey",
+    "isMatchColumn", "default", "isComputed", "computedExpression", "isPersisted", "sensitivity", "sourceField", "targetTable", "targetField", "cascadeDelete", "kind",
+    "soft", "columns", "isUnique", "isClustered", "isFiltered", "filterExpression", "includedColumns", "expression", "column", "title", "tables", "isModule", "erds",
+    "includeLogical", "includeVirtual",
+)
+_MEMBERS = {n.lower(): _snake(n) for n in _NAMES}
 
 
 def _canonical(value):
