@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from pathlib import Path
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.bpe import CACHE_PIECES, RANK_FILE, RANK_FILE_LIMIT, parse_ranks
 from plumbline.llm.common import by_batch, checkpointed, ddl
 
-ZIPF_SHIFT, ROUNDS = 2.7, 3
+ZIPF_SHIFT, ROUNDS = 2.7, 2
 #: Texts that are counted at once.
 TEXTS = 500
 
@@ -118,22 +118,23 @@ class SpacedTexts:
     """
 
     AT_ONCE = 1 << 22
+    _SEAM = regex.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, pattern: str):
         self.pattern, self.seams = regex.compile(pattern), pattern == public_tokenizers.PATTERN
 
-    def cut(self, texts: list[str]) -> tuple[set[str], list[tuple[list[str], tuple[str, ...]]]]:
-        """(distinct chunks; for each text its chunks, which stand for themselves with a space before, and its other parts)."""
+    def cut(self, texts: list[str]) -> tuple[set[str], list[tuple[list[str], str]]]:
+        """(distinct chunks; for each text its chunks, which stand for themselves with a space before, and what comes first)."""
         parted = [t.split(" ") if self.seams and len(t) <= self.AT_ONCE else [t] for t in texts]
-        distinct = set().union(*(p[1:-1] for p in parted))
-        bad = {c for c in distinct if not c or c[0].isspace() or c[-1].isspace()}
-        out = []
-        for text, (first, *rest) in zip(texts, parted):
-            if rest and first and rest[-1] and not first[-1].isspace() and not rest[-1][0].isspace() and bad.isdisjoint(inner := rest[:-1]):
-                out.append((inner, (first, f" {rest[-1]}")))
-            else:
-                out.append(([], (text,)))
-        return distinct - bad, out
+        edges = set().union(*parted)
+        bad = {c for c in edges if not c or c[0].isspace() or c[-1].isspace()}
+        out, distinct = [], edges - bad
+        for text, parts in zip(texts, parted):
+            if len(parts) > 1 and not bad.isdisjoint(parts):  # some space is no seam
+                parts = self._SEAM.split(text)
+                distinct.update(parts[1:])
+            out.append((parts[1:], parts[0]))
+        return distinct, out
 
     def matches(self, text: str) -> Iterator[list[str]]:
         found = self.pattern.finditer(text)
@@ -141,30 +142,20 @@ class SpacedTexts:
             yield part
 
 
-class PieceCounter:
-    """Pre-tokens of texts with their number."""
-
-    def __init__(self, pattern: str):
-        self.texts = SpacedTexts(pattern)
-        self.chunks: dict[str, list[str]] = {}
-
-    def count(self, texts: list[str]) -> Counter:
-        distinct, parted = self.texts.cut(texts)
-        if len(self.chunks) > CACHE_PIECES // 4:
-            self.chunks.clear()
-        find = self.texts.pattern.findall
-        self.chunks.update((c, find(f" {c}")) for c in distinct.difference(self.chunks))
-        chunks: Counter = Counter()
-        out: Counter = Counter()
-        for inner, loose in parted:
+def piece_sums(texts: SpacedTexts, batch: list[str]) -> Counter:
+    """Pre-tokens of texts with their number; each distinct chunk is split once."""
+    chunks: Counter = Counter()
+    out: Counter = Counter()
+    for at in range(0, len(batch), TEXTS):
+        for inner, first in texts.cut(batch[at : at + TEXTS])[1]:
             chunks.update(inner)
-            for x in loose:
-                for part in self.texts.matches(x):
-                    out.update(part)
-        for c, n in chunks.items():
-            for p in self.chunks[c]:
-                out[p] += n
-        return out
+            for part in texts.matches(first):
+                out.update(part)
+    find = texts.pattern.findall
+    for c, n in chunks.items():
+        for p in find(f" {c}"):
+            out[p] += n
+    return out
 
 
 class TextCounter:
@@ -202,7 +193,7 @@ class TextCounter:
         if len(self.chunks) > CACHE_PIECES:
             self.chunks.clear()
         self._learn_chunks(distinct.difference(self.chunks))
-        totals = [sum(map(self.chunks.__getitem__, inner)) + sum(map(self.whole, loose)) for inner, loose in parted]
+        totals = [sum(map(self.chunks.__getitem__, inner)) + self.whole(first) for inner, first in parted]
         return [(n >> 32, n & 0xFFFFFFFF) for n in totals]
 
 
@@ -210,12 +201,10 @@ def piece_counts(docs: DataFrame, text: str = "text", pattern: str = public_toke
     """(piece, n): the distinct pre-tokens of all whole texts; partial sums leave each batch."""
 
     def make():
-        counter = PieceCounter(pattern)
+        spaced = SpacedTexts(pattern)
 
         def work(batch: pa.RecordBatch) -> dict:
-            texts, found = [x for x in batch.column(0).to_pylist() if x], Counter()
-            for at in range(0, len(texts), TEXTS):
-                found.update(counter.count(texts[at : at + TEXTS]))
+            found = piece_sums(spaced, [x for x in batch.column(0).to_pylist() if x])
             return {"piece": list(found), "n": list(found.values())}
 
         return work
@@ -230,19 +219,43 @@ def _ranks_of(rank_file: str) -> bytes:
     return data
 
 
+def _packed(data: bytes, scores: dict[int, float]) -> tuple[bytes, bytes, bytes]:
+    """A rank file and scores by rank as what is broadcast: the file and 16 bytes a rank."""
+    order = sorted(scores)
+    return data, np.array(order, "<i8").tobytes(), np.array([scores[r] for r in order], "<f8").tobytes()
+
+
+def _unpacked(value: tuple[bytes, bytes, bytes]) -> tuple[dict[bytes, int], dict[int, float]]:
+    data, ids, scores = value
+    return parse_ranks(data), dict(zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(scores, "<f8").tolist()))
+
+
+#: What a worker keeps from task to task: the model of the last round, the counter of the last query.
+_tries: dict[bytes, UnigramTrie] = {}
+_workers: dict[tuple[bytes, str], TextCounter] = {}
+
+
+def _kept(cache: dict, key: object, make: Callable[[], object]):
+    """The one entry of a worker's cache, made anew where another key is asked for."""
+    if key not in cache:
+        cache.clear()
+        cache[key] = make()
+    return cache[key]
+
+
 def learn_scores(docs: DataFrame, text: str = "text", rank_file: str = RANK_FILE, pattern: str = public_tokenizers.PATTERN, rounds: int = ROUNDS) -> dict[int, float]:
     """Scores by rank, learned from all texts; those of the Zipf law where there are none."""
     data = _ranks_of(rank_file)
     ranks = parse_ranks(data)
     scores = zipf_scores(ranks)
-    pieces = checkpointed(piece_counts(docs, text, pattern))
+    pieces = checkpointed(piece_counts(docs, text, pattern).orderBy("piece"))  # neighbours share their prefixes
     context = docs.sparkSession.sparkContext
     for _ in range(rounds):
-        shared = context.broadcast((data, scores))  # the rank file and 8 bytes a rank
+        shared = context.broadcast(_packed(data, scores))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, known = shared.value
-            trie, total = UnigramTrie(parse_ranks(own), known), Counter()
+            trie = _kept(_tries, hashlib.sha256(b"".join(shared.value)).digest(), lambda: UnigramTrie(*_unpacked(shared.value)))
+            total: Counter = Counter()
             for batch in batches:
                 names, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 total.update(trie.usage({x.encode("utf-8"): k for x, k in zip(names, n)}))
@@ -256,9 +269,6 @@ def learn_scores(docs: DataFrame, text: str = "text", rank_file: str = RANK_FILE
     return scores
 
 
-_workers: dict[tuple[bytes, str], TextCounter] = {}
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rank_file: str = RANK_FILE, pattern: str = public_tokenizers.PATTERN, scores: dict[int, float] | None = None) -> DataFrame:
     """``id_col``, ``n_pretokens`` and ``n_tokens`` of each whole text, by ``scores`` (default: learned from ``docs``).
 
@@ -268,16 +278,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ra
     """
     data = _ranks_of(rank_file)
     known = learn_scores(docs, text, rank_file, pattern) if scores is None else scores
-    order = sorted(known)
-    shared = docs.sparkSession.sparkContext.broadcast((data, np.array(order, "<i8").tobytes(), np.array([known[r] for r in order], "<f8").tobytes()))
+    shared = docs.sparkSession.sparkContext.broadcast(_packed(data, known))
 
     def make():
         key = hashlib.sha256(b"".join(shared.value)).digest(), pattern
-        if key not in _workers:
-            _workers.clear()
-            own, ids, values = shared.value
-            _workers[key] = TextCounter(parse_ranks(own), dict(zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(values, "<f8").tolist())), pattern)
-        counter = _workers[key]
+        counter = _kept(_workers, key, lambda: TextCounter(*_unpacked(shared.value), pattern))
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = [x or "" for x in batch.column(1).to_pylist()]

@@ -52,9 +52,11 @@ def test_shared_prefixes_give_each_piece_its_own_count(pieces):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["the", " ", "  ", "\n", "a", "'s", "é", ".", " ", "12", "\t"]), max_size=20).map("".join))
 def test_text_counts(text):
+    chunks, ((inner, first),) = COUNTER.texts.cut([text])
+    assert [p for part in (first, *(f" {c}" for c in inner)) for p in PATTERN.findall(part)] == PATTERN.findall(text) and set(inner) <= chunks
     pieces = COUNTER.texts.pattern.findall(text)
     assert COUNTER.count([text]) == [(len(pieces), sum(len(segmented(p.encode())) for p in pieces))]
-    assert tc.PieceCounter(public_tokenizers.PATTERN).count([text, text]) == Counter(pieces + pieces)
+    assert tc.piece_sums(COUNTER.texts, [text, text]) == Counter(pieces + pieces)
 
 
 def test_full_caches_change_nothing(monkeypatch):
