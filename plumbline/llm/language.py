@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_batch, ddl, fold_of, row_hash
+from plumbline.llm.common import by_batch, checkpointed, ddl, fold_of, row_hash
 
 #: Most rows of a language that its profile is learned from, and most languages.
 LANGUAGE_ROWS, LANGUAGES = 2_000, 50_000
@@ -127,14 +127,17 @@ class Profiles:
 def learning_rows(docs: DataFrame, lang: str, text: str, trainable: Column) -> DataFrame:
     """(lang, text) of the rows that profiles are learned from.
 
-    A language's rows are cut down to about twice its bound by their hash before they are
-    ranked, so that a language of a third of all rows is no burden on one task.
+    A language's rows are cut down to about twice its bound by their hash, where they lie,
+    before they are ranked, so that a language of a third of all rows is no burden on one
+    task.  More than ``LANGUAGES`` languages are refused.
     """
     h = F.pmod(row_hash(docs, "profile"), F.lit(1 << 62))
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), trainable.alias("ok"), h.alias("h"))
     rows = rows.filter("ok and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy(F.col("lang").alias("_lang")).agg((F.lit(2.0 * LANGUAGE_ROWS) / F.count("*")).alias("share"))
-    few = rows.join(sizes, F.col("lang") == F.col("_lang")).filter(F.col("h") < F.col("share") * float(1 << 62))
+    sizes = checkpointed(rows.groupBy(F.col("lang").alias("_lang")).agg((F.lit(2.0 * LANGUAGE_ROWS) / F.count("*")).alias("share")))
+    if sizes.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; their profiles aren't sent to the executors")
+    few = rows.join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).filter(F.col("h") < F.col("share") * float(1 << 62))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return few.withColumn("nth", nth).filter(F.col("nth") <= LANGUAGE_ROWS).select("lang", "text")
 
@@ -157,9 +160,7 @@ def learn_profiles(docs: DataFrame, lang: str, text: str, trainable: Column) ->
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", best).filter(F.col("rank") <= PROFILE)
     lists = top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"]).alias("grams"))
-    got = lists.limit(LANGUAGES + 1).toArrow()  # PROFILE numbers a language
-    if got.num_rows > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages; their profiles aren't sent to the executors")
+    got = lists.toArrow()  # PROFILE numbers for each of at most LANGUAGES
     return {name: grams.values.to_numpy() for name, grams in zip(got.column("lang").to_pylist(), got.column("grams"))}
 
 

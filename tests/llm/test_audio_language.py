@@ -252,6 +252,15 @@ def test_rows_are_drawn_by_row_and_bounded(docs, monkeypatch):
     assert len(drawn) == 20 and any(t.startswith("other") for t in drawn)
 
 
+def test_texts_stay_where_they_lie_and_languages_are_bounded(docs, monkeypatch):
+    frame = docs(lang_rows(60))
+    plan = language.learning_rows(frame, "lang", "text", F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language.identify(frame)
+
+
 def test_many_languages(docs):
     rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " * 3, f"l{i:05}", "a") for i in range(10_000)]
     learned = language.learn_profiles(docs(rows), "lang", "text", F.lit(True))
