@@ -130,7 +130,7 @@ def _left_apart(members: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFr
     )
     whole = whole.filter("parts > 1")
     blocks = lambda n, b: F.ceil(F.greatest(n / BLOCK_TEXTS, b / BLOCK_BYTES))
-    whole = whole.select("_key", F.col("most.root").alias("largest"), blocks(F.col("all_n") - F.col("most.n"), F.col("all_bytes") - F.col("most_bytes")).alias("n_left"), blocks(F.col("all_n"), F.col("all_bytes")).alias("n_right"))
+    whole = checkpointed(whole.select("_key", F.col("most.root").alias("largest"), blocks(F.col("all_n") - F.col("most.n"), F.col("all_bytes") - F.col("most_bytes")).alias("n_left"), blocks(F.col("all_n"), F.col("all_bytes")).alias("n_right")))
     todo = own.join(whole, F.col("key") == F.col("_key")).select("key", "node", "root", "n_left", "n_right", (F.col("root") != F.col("largest")).alias("rest"))
     spread = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     mine = lambda n: F.array(F.pmod(F.xxhash64("node"), n))
@@ -149,7 +149,8 @@ def near_links(docs: DataFrame, text: str = "text") -> DataFrame:
     own = F.col(f"`{text}`")
     texts = docs.filter(own.isNotNull()).select(F.xxhash64(own).alias("node"), own.alias("text"))
     keys = checkpointed(by_batch(texts, lambda: _keys, "key long, node long").distinct())
-    sizes = keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    sizes = checkpointed(keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1"))
+    # both sides of these joins are read from files, so that Spark can split a key that many texts share
     members = checkpointed(keys.join(sizes, keys.key == F.col("_key")).select("key", "node", "n", "hub"))
     if members.isEmpty():
         return docs.sparkSession.createDataFrame([], "u long, v long")
