@@ -6,13 +6,15 @@ upper node, and again for runs of nodes.  A search goes down from the top and
 adds up the differing bits of each node's own mask; once a sum is over the limit
 the whole run below is passed over.
 
-Distribution: the top of the index is a cut of the Gray order into runs by
-common prefix, chosen from at most 2**16 counts.  A fingerprint is sent to its
-own run and to each later run whose prefix differs from it in at most
-``max_distance`` bits, which a table tells from the prefix with up to that many bits
-flipped.  A run that the prefixes can't split further is split by hash into pieces of
-about ``RUN_SIZE``, and what visits a run into shares of about ``VISITORS``; a task
-searches one piece, with its own lower levels, for one share.
+Distribution: the bits are cut into one part more than ``max_distance``.  Two linked
+fingerprints agree on a whole part, so for each part there is a Gray order that has its
+bits first, cut into runs by common prefix, chosen from at most ``COUNTS`` counts in all.  A
+fingerprint is sent to its own run of each order and to no other, however many runs
+there are.  A run that the prefixes can't split is a group of a next level: its
+fingerprints can differ in the other bits only, which are cut into parts again.  Runs
+that no bits are left to split are split by hash into pieces of about ``RUN_SIZE``, and
+what visits them into shares of about ``VISITORS``; a task searches one run or piece,
+with its own lower levels.
 A task keeps a spanning forest of the links it finds, not all pairs
 (a fingerprint has at most 2,080 others within two bits, so the pairs it looks
 at are bounded too), and the forests are joined by ``connected_components``.
@@ -21,6 +23,7 @@ at are bounded too), and the forests are joined by ``connected_components``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +39,13 @@ SHINGLE_WORDS = 3
 MAX_DISTANCE = 2
 #: Depth of the prefixes that are counted for the cut, and fingerprints aimed at in a run.
 CUT_BITS, RUN_SIZE = 16, 8192
+#: Prefixes that are counted for all cuts of a level.
+COUNTS = 1 << 18
 #: Fingerprints of other runs or pieces aimed at in a task.
 VISITORS = 2 * RUN_SIZE
 FANOUT = 8
 _CHUNK, _ROUTED = 50_000, 10_000
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ALL, _MASK = np.uint64(0xFFFFFFFFFFFFFFFF), (1 << 64) - 1
 
 
 def shingle_hashes(text: str | None, words_each: int) -> Iterator[np.ndarray]:
@@ -191,8 +196,9 @@ class Router:
         run = found[q, at]
         return q, run, run == home[q]
 
-    def route(self, codes: np.ndarray) -> dict[str, np.ndarray]:
-        q, run, own = self._runs((codes >> self.bits).astype(np.int64))
+    def route(self, codes: np.ndarray, prefixes: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Where codes go by their ``prefixes``, those of their highest bits if none are given."""
+        q, run, own = self._runs((codes >> self.bits).astype(np.int64) if prefixes is None else prefixes)
         code = codes[q]
         h = ((code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         piece, share = h.astype(np.int64) % self.pieces[run], (h.astype(np.int64) // 7919) % self.shares[run]
@@ -211,6 +217,97 @@ class Router:
         return {"run": r.astype(np.int32), "piece": p.astype(np.int32), "share": x.astype(np.int32), "code": c.view(np.int64), "own": o}
 
 
+def prefix_of(codes: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """The bits of each code at ``places``, the first one highest."""
+    out = np.zeros(len(codes), np.int64)
+    for place in places:
+        out = out << 1 | (codes >> np.uint64(place) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+def varying(free: list[tuple[int, ...]], differ: dict[int, int]) -> list[tuple[int, ...]]:
+    """What is left of each group's free bits without those that are equal in all its codes."""
+    return [tuple(b for b in own if differ.get(g, 0) >> b & 1) for g, own in enumerate(free)]
+
+
+class Level:
+    """Orders of groups of codes by parts of the bits in which the codes of a group can differ (``free``)."""
+
+    def __init__(self, free: list[tuple[int, ...]], limit: int, bits: int):
+        self.free, self.orders = free, limit + 1
+        self.bits = max(1, min(bits, (COUNTS // (self.orders * len(free))).bit_length() - 1))
+        cuts = [[len(f) * k // self.orders for k in range(self.orders + 1)] for f in free]
+        #: By group and order: the places of its prefixes.
+        self.places = [[f[a:b][: self.bits] for a, b in zip(c, c[1:])] for f, c in zip(free, cuts)]
+        self.routers: list[list[Router]] = []
+        #: By group and order: the number of the first run, and for each run its group in the next level, else -1.
+        self.first: list[list[int]] = []
+        self.below: list[list[np.ndarray]] = []
+
+    def orders_of(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(group, order, codes, prefixes) of a batch of (group, code)."""
+        group, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        for g in np.unique(group).tolist():
+            own = codes[group == g]
+            for k, places in enumerate(self.places[g]):
+                yield g, k, own, prefix_of(own, places)
+
+    def count(self, rows: DataFrame) -> dict[tuple[int, int], dict[int, int]]:
+        """Codes by prefix, by group and order."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((len(self.free) * self.orders) << self.bits, np.int64)
+            for batch in batches:
+                for g, k, _, prefixes in self.orders_of(batch):
+                    at = (g * self.orders + k) << self.bits
+                    n[at : at + (1 << self.bits)] += np.bincount(prefixes, minlength=1 << self.bits)
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"cell": cell, "n": n[cell]})
+
+        got = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows, or two a group and order
+        out: dict[tuple[int, int], dict[int, int]] = {(g, k): {} for g in range(len(self.free)) for k in range(self.orders)}
+        for cell, n in zip(got.column("cell").to_pylist(), got.column("n").to_pylist()):
+            out[divmod(cell >> self.bits, self.orders)][cell & ((1 << self.bits) - 1)] = n
+        return out
+
+    def cut(self, counts: dict[tuple[int, int], dict[int, int]], first: int, run_size: int, visitors: int) -> tuple[int, list[tuple[int, ...]]]:
+        """Cuts all orders into runs numbered from ``first``; (the next number, free bits of the groups of the next level)."""
+        groups: list[tuple[int, ...]] = []
+        for g, free in enumerate(self.free):
+            rows: tuple[list, list, list] = ([], [], [])
+            for k, places in enumerate(self.places[g]):
+                runs = cut_runs(counts[g, k], len(places), run_size)
+                router = Router(runs, counts[g, k], 0, len(places), run_size, visitors)
+                rest = tuple(b for b in free if b not in places)
+                below = np.full(len(runs), -1, np.int64)
+                if places and rest:
+                    over = np.flatnonzero(router.shares + router.pieces / 2 > self.orders**2)
+                    below[over] = len(groups) + np.arange(len(over))
+                    groups += [rest] * len(over)
+                for own, x in zip(rows, (router, first, below)):
+                    own.append(x)
+                first += len(runs)
+            for all_rows, own in zip((self.routers, self.first, self.below), rows):
+                all_rows.append(own)
+        return first, groups
+
+    def sent(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """What goes to the tasks."""
+        parts = []
+        for g, k, codes, prefixes in self.orders_of(batch):
+            router = self.routers[g][k]
+            stay = self.below[g][k][router.run_of[prefixes]] < 0
+            to = router.route(codes[stay], prefixes[stay])
+            parts.append(to | {"run": to["run"] + np.int32(self.first[g][k])})
+        return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+    def passed(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """(group, code) of the next level."""
+        found = [(self.below[g][k][self.routers[g][k].run_of[prefixes]], codes) for g, k, codes, prefixes in self.orders_of(batch)]
+        group, code = (np.concatenate(x) for x in zip(*found))
+        return {"group": group[group >= 0], "code": code[group >= 0].view(np.int64)}
+
+
 def fingerprint_links(distinct: DataFrame, code: str, limit: int = MAX_DISTANCE, run_size: int = RUN_SIZE, bits: int = CUT_BITS, visitors: int = VISITORS) -> DataFrame:
     """Links (u, v) that connect all distinct codes within ``limit`` bits of each other.
 
@@ -218,23 +315,19 @@ def fingerprint_links(distinct: DataFrame, code: str, limit: int = MAX_DISTANCE,
     of spanning forests: two codes are connected by them exactly if they are by
     all links.
     """
-    prefix = F.shiftrightunsigned(F.col(code), 64 - bits)
-    counts = {int(r[0]): int(r[1]) for r in distinct.groupBy(prefix.alias("p")).count().collect()}  # 2**bits rows at most
     schema = "u long, v long"
-    runs = cut_runs(counts, bits, run_size)
-    if not runs:
+    rows = distinct.select(F.lit(0).cast("long").alias("group"), F.col(code).alias("code"))
+    groups, first, parts = [tuple(range(63, -1, -1))], 0, []
+    while groups:
+        spread = rows.groupBy("group").agg(F.bit_and("code"), F.bit_or("code")).collect()  # a row a group
+        level = Level(varying(groups, {g: (same & _MASK) ^ (some & _MASK) for g, same, some in spread}), limit, bits)
+        first, groups = level.cut(level.count(rows), first, run_size, visitors)
+        parts.append(by_batch(rows, lambda level=level: level.sent, "run int, piece int, share int, code long, own boolean"))
+        if groups:
+            rows = checkpointed(by_batch(rows, lambda level=level: level.passed, "group long, code long"))
+    if not first:
         return distinct.sparkSession.createDataFrame([], schema)
-    router = Router(runs, counts, limit, bits, run_size, visitors)  # a few numbers for each prefix and run
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict:
-            codes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            parts = [router.route(codes[at : at + _ROUTED]) for at in range(0, len(codes), _ROUTED)]
-            return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-
-        return work
-
-    routed = by_batch(distinct.select(code), make, "run int, piece int, share int, code long, own boolean")
+    routed = reduce(DataFrame.unionAll, parts)
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         codes = group.column("code").to_numpy().view(np.uint64)

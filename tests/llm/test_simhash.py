@@ -99,6 +99,46 @@ def test_no_task_gets_more_than_its_share():
     assert len(np.unique(sent["code"])) == len(codes)
 
 
+def routed(codes, run_size):
+    """Rows that all levels send to tasks, and those of the largest task."""
+    level, first, rows, sizes = None, 0, [(np.zeros(len(codes), np.int64), codes)], {}
+    groups, total = [tuple(range(63, -1, -1))], 0
+    while groups:
+        group, code = rows[0]
+        differ = {g: int(np.bitwise_or.reduce(code[group == g]) ^ np.bitwise_and.reduce(code[group == g])) for g in range(len(groups))}
+        level = simhash.Level(simhash.varying(groups, differ), 2, 16)
+        batch = simhash.pa.RecordBatch.from_pydict({"group": group, "code": code.view(np.int64)})
+        counts = {}
+        for g, k, _, prefixes in level.orders_of(batch):
+            counts[g, k] = dict(zip(*(x.tolist() for x in np.unique(prefixes, return_counts=True))))
+        first, groups = level.cut(counts, first, run_size, 2 * run_size)
+        sent, passed = level.sent(batch), level.passed(batch)
+        total += len(sent["code"])
+        for *task, own in zip(sent["run"].tolist(), sent["piece"].tolist(), sent["share"].tolist(), sent["own"].tolist()):
+            sizes[tuple(task)] = sizes.get(tuple(task), 0) + own
+        rows = [(passed["group"], passed["code"].view(np.uint64))]
+    return total, max(sizes.values())
+
+
+def test_a_code_is_sent_to_as_many_tasks_however_many_codes_there_are():
+    rng = np.random.default_rng(8)
+    for n in (5_000, 25_000, 125_000):  # 5 to 120 runs
+        codes = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        total, largest = routed(codes, 1024)
+        assert total == 3 * len(codes) and largest <= 1024
+
+
+@pytest.mark.parametrize("places", [list(range(18)), list(range(0, 54, 3)), list(range(46, 64))])
+def test_codes_that_share_most_bits_are_not_sent_by_the_square(places):
+    rows = {}
+    for n in (1 << 12, 1 << 14, 1 << 16):  # all values of the lowest 12, 14, 16 of these bits
+        value = np.arange(n, dtype=np.uint64)
+        codes = sum(((value >> np.uint64(k)) & np.uint64(1)) << np.uint64(b) for k, b in enumerate(places))
+        rows[n], largest = routed(codes, 1024)
+        assert largest <= 1300
+    assert rows[1 << 16] <= 9 << 16  # two levels of three orders
+
+
 def test_components_of_a_chain_a_star_and_repeats(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 4), (200, 201), (201, 200)]
     found = dict(tuple(r) for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect())
