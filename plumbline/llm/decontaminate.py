@@ -2,10 +2,10 @@
 
 1. Document frequencies of hashed words over all documents: one partial vector a
    task, summed by a shuffle of at most 2**BITS rows a task.
-2. A distributed randomised SVD of unit TF-IDF passages over the terms of the benchmark: Z = A'(A G) for a Gaussian
-   G, Q = qr(Z), then the eigenvectors of (A Q)'(A Q).  Only the basis is fitted on
-   a bounded sample of documents (``FIT_DOCUMENTS`` expected, drawn by a hash of the
-   whole row) and the benchmark; every document is searched.
+2. A distributed randomised SVD of the unit TF-IDF passages of all benchmark items: Z = A'(A G) for a Gaussian
+   G, Q = qr(Z), then the eigenvectors of (A Q)'(A Q).  The benchmark is what is
+   searched for, so the basis is fitted on every item of it and on nothing else; the
+   documents' windows are folded in.
 3. Every document is cut into overlapping windows at three scales; prefix sums of
    the projected words give each window's latent vector, and those within
    ``COSINE`` of a benchmark item (of that scale) are candidates.  So are the places
@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import by_batch, checkpointed, ddl, fresh, row_hash
+from plumbline.llm.common import by_batch, checkpointed, ddl, fresh, row_hash  # noqa: F401  tests take row_hash from here
 
 BITS, RANK, OVERSAMPLE, SEED = 16, 48, 8, 7
-FIT_DOCUMENTS, FIT_PARTS, FIT_WORDS = 2000, 8, 64
+FIT_PARTS, FIT_WORDS = 8, 64
+#: Directions with less than this share of the largest eigenvalue are rounding errors and left out.
+LEAST_EIGENVALUE = 1e-5
 #: Inverse document frequencies are raised to this power, so that a few common words outweigh no rare one.
 IDF_POWER = 3
 SCALES = (16, 32, 64)
@@ -233,13 +235,14 @@ def _gram(total: np.ndarray, rows: list, right: np.ndarray) -> None:
 
 
 def latent_basis(texts: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (2**BITS x rank) of the unit TF-IDF passages of a one-column frame."""
+    """Right singular vectors (2**BITS x rank) of the unit TF-IDF passages of a one-column frame; zeros beyond its rank."""
     width = rank + OVERSAMPLE
     start = np.random.default_rng(SEED).standard_normal((_DIMS, width)).astype(np.float32)
     z = _sum_parts(texts, idf, start, _power, (_DIMS, width))
     q = np.linalg.qr(z)[0].astype(np.float32)
     c = _sum_parts(texts, idf, q, _gram, (width, width)).astype(np.float64)
-    _, vectors = np.linalg.eigh((c + c.T) / 2)
+    values, vectors = np.linalg.eigh((c + c.T) / 2)
+    vectors[:, values <= LEAST_EIGENVALUE * values[-1]] = 0
     return (q @ vectors[:, ::-1][:, :rank]).astype(np.float32)
 
 
@@ -443,15 +446,7 @@ def add_leaks(docs: DataFrame, benchmark: DataFrame, leaks: str = "leaks", text:
     df, n = document_frequencies(docs, text)
     idf = inverse_frequencies(df, n)
     idf[~benchmark_terms(items)] = 0
-
-    def drawn(rows: DataFrame, total: int) -> DataFrame:
-        """About FIT_DOCUMENTS texts, by a hash of the whole row; rows that are equal in all columns count once."""
-        h = F.pmod(row_hash(rows, "fit"), F.lit(1 << 62))
-        least = rows.select(h.alias("_h"), F.col("`text`").alias("_t")).filter(F.col("_h") < int(min(1.0, FIT_DOCUMENTS / max(total, 1)) * (1 << 62)))
-        return least.dropDuplicates(["_h"]).select(F.col("_t").alias("text"))
-
-    sample = drawn(docs if text == "text" else docs.withColumn("text", F.col(f"`{text}`")), n)
-    fit = checkpointed(sample.unionAll(drawn(items, count)).repartition(FIT_PARTS))
+    fit = checkpointed(items.select("text").repartition(FIT_PARTS))
     projection = latent_basis(fit, idf) * idf[:, None]
     parts = []
     for b in range(blocks):

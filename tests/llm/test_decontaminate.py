@@ -163,3 +163,19 @@ def test_copies_under_other_ids_are_drawn_apart(spark):
     frame = spark.createDataFrame([(i, "one text") for i in range(2000)] + [(5000, "same row")] * 2000, "doc_id long, text string")
     share = frame.withColumn("h", dc.F.pmod(dc.row_hash(frame, "fit"), dc.F.lit(4)))
     assert 350 < share.filter("h = 0 and doc_id < 5000").count() < 650
+
+
+def test_the_basis_is_fitted_on_every_item(spark, docs, monkeypatch):
+    items = [(i, f"item number{i} of many{i % 7} and word{i * 31 % 1000} again") for i in range(2500)]
+    fitted = []
+    real = dc.latent_basis
+    monkeypatch.setattr(dc, "latent_basis", lambda texts, idf: fitted.extend(r[0] for r in texts.collect()) or real(texts, idf))
+    got = dc.contaminated(docs([(1, f"lead {items[2400][1]} out", "en", "a"), (2, "none", "en", "a")]), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["item_ids"] for r in got.collect()} == {1: [2400], 2: []}
+    assert sorted(fitted) == sorted(t for _, t in items)
+
+
+def test_few_items_span_few_directions(spark):
+    texts = spark.createDataFrame([("one two three four five six",), ("seven eight nine ten eleven twelve",), ("one two three four five six",)], "text string")
+    basis = dc.latent_basis(texts, dc.np.ones(1 << dc.BITS, "f4"))
+    assert dc.np.count_nonzero(dc.np.abs(basis).sum(axis=0)) == 2
