@@ -1,11 +1,12 @@
 """Token counts of a unigram model by trie-shared dynamic programming.
 
-The distinct pre-tokens that a batch brings are put in a trie (walked in sorted
-order, which visits it depth first) and the forward scores of the unigram model -
-the best log-probability of a segmentation of the prefix, and its number of tokens -
-are computed once for each trie node, so a prefix that many pre-tokens share costs
-once.  The count at each pre-token's terminal is stored and remembered; a text's count
-is a sum of lookups.
+The distinct pre-tokens that a batch brings are put in a trie and the forward scores
+of the unigram model - the best log-probability of a segmentation of the prefix, and
+its number of tokens - are computed once for each trie node, so a prefix that many
+pre-tokens share costs once.  All nodes of a depth are computed together, as arrays;
+the few pre-tokens over ``LEVELS`` bytes are walked one after the other in sorted order,
+which visits their trie depth first.  The count at each pre-token's terminal is stored,
+those of chunks are remembered; a text's count is a sum of lookups.
 
 The vocabulary is that of a public tokenizer and stays as it is; the model's scores are
 learned from the corpus.  One pass counts the distinct pre-tokens of all texts; then,
@@ -22,12 +23,13 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,10 @@ from plumbline.llm.bpe import CACHE_PIECES, RANK_FILE, RANK_FILE_LIMIT, parse_ra
 from plumbline.llm.common import by_batch, checkpointed, ddl
 
 ZIPF_SHIFT, ROUNDS = 2.7, 2
-#: Texts that are counted at once.
-TEXTS = 500
+#: Bytes of texts that are cut at once, and distinct chunks (of as many bytes) that are split at once.
+TEXT_BYTES, CHUNKS = 8 << 20, 100_000
+#: Bytes of a pre-token up to which its trie is computed by depth.
+LEVELS = 64
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[int, float]:
@@ -52,6 +56,106 @@ def scores_of(counts: dict[int, int], ranks: dict[bytes, int]) -> dict[int, floa
     return {r: math.log(counts.get(r, 0) + 1) - total for r in ranks.values()}
 
 
+class StepTable:
+    """Steps between the vocabulary's nodes as a hash table with linear probing, for many lookups at once."""
+
+    _MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, steps: dict[int, int]):
+        bits = max(4, (4 * len(steps)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.nodes = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys, nodes = np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps))
+        slots = self._slots(keys)
+        while len(keys):
+            self.keys[slots] = np.where(self.keys[slots] < 0, keys, self.keys[slots])  # of several keys for a slot one stays
+            put = self.keys[slots] == keys
+            self.nodes[slots[put]] = nodes[put]
+            keys, nodes, slots = keys[~put], nodes[~put], (slots[~put] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * self._MIX >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Node that each key (node << 8 | byte) leads to, or -1."""
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.nodes[slots], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            slots[rest] = (slots[rest] + 1) & self.mask
+            there = self.keys[slots[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.nodes[slots[rest[hit]]]
+            rest = rest[~hit & (there >= 0)]
+        return out
+
+
+def _first_of_runs(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    return np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]])
+
+
+class Levels:
+    """Forward pass over the trie of sorted distinct pieces, all nodes of a depth at once.
+
+    Nodes are numbered by depth: ``score`` (-inf where the vocabulary can't spell the prefix), ``size`` (tokens), ``back``
+    (the node before the last token) and ``token`` (the vocabulary's node of that) of the best segmentation of each node;
+    ``ends`` has the node of each piece, ``bounds`` the nodes of each depth.
+    """
+
+    def __init__(self, trie: UnigramTrie, pieces: pa.Array):
+        lengths = pc.binary_length(pieces).to_numpy().astype(np.int64)
+        begins, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)
+        self.score = np.full(1 + lengths.sum(), -math.inf)
+        self.size, self.back, self.token = (np.zeros(len(self.score), np.int32) for _ in range(3))
+        self.score[0] = 0.0
+        self.ends, self.bounds = np.zeros(len(pieces), np.int64), [0, 1]
+        active = np.flatnonzero(lengths)
+        # of each node of the last depth: the vocabulary's nodes that go on, by the node they began after, the first of those first
+        live, firsts, began, at = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32)
+        while len(active):
+            low, high = self.bounds[-2:]
+            up, byte = self.ends[active], data[begins[active] + len(self.bounds) - 2]
+            new = _first_of_runs(up << 8 | byte)
+            self.ends[active] = high + np.cumsum(new) - 1
+            up, byte = up[new], byte[new].astype(np.int64)
+            parent = up - low
+            widths = live[parent] + 1  # those of the parent, then one that begins after it
+            stops = np.cumsum(widths)
+            owner = np.repeat(np.arange(len(up)), widths)
+            source = np.arange(len(owner)) + np.repeat(firsts[parent] - stops + widths, widths)
+            began, at = began[source], at[source]
+            began[stops - 1], at[stops - 1] = up, 0
+            at = trie.steps.find(at.astype(np.int64) << 8 | byte[owner])
+            found = np.flatnonzero(at >= 0)
+            owner, began, at = owner[found], began[found], at[found]
+            self._choose(trie, high + owner, began, at)
+            live = np.bincount(owner, minlength=len(up))
+            firsts = np.cumsum(live) - live
+            began, at = np.append(began, np.int32(0)), np.append(at, np.int32(0))  # so that the place after the last one is there
+            self.bounds.append(high + len(up))
+            active = active[lengths[active] > len(self.bounds) - 2]
+
+    def _choose(self, trie: UnigramTrie, node: np.ndarray, began: np.ndarray, at: np.ndarray) -> None:
+        """The best of each node's last tokens: highest score, then fewest tokens, then the longest one."""
+        own = trie.node_scores[at]
+        tokens = np.flatnonzero(own > -math.inf)
+        if not len(tokens):
+            return
+        node, began, at = node[tokens], began[tokens], at[tokens]
+        score, size = self.score[began] + own[tokens], self.size[began] + 1
+        run = _first_of_runs(node)
+        starts, group = np.flatnonzero(run), np.cumsum(run) - 1
+        top = np.maximum.reduceat(score, starts)
+        size[score < top[group]] = np.iinfo(np.int32).max
+        least = np.minimum.reduceat(size, starts)
+        best = np.flatnonzero(size == least[group])
+        best = best[_first_of_runs(group[best])]
+        node = node[starts]
+        self.score[node], self.size[node], self.back[node], self.token[node] = top, least, began[best], at[best]
+
+
 class UnigramTrie:
     """The vocabulary as a trie, and the forward pass over a trie of pre-tokens."""
 
@@ -65,6 +169,10 @@ class UnigramTrie:
                 key = node << 8 | b
                 node = self.next.setdefault(key, len(self.next) + 1)
             self.score[node], self.rank[node] = scores[rank], rank
+        self.steps = StepTable(self.next)
+        self.node_scores, self.node_ranks = np.full(len(self.next) + 1, -math.inf), np.zeros(len(self.next) + 1, np.int64)
+        known = np.fromiter(self.score, np.int64, len(self.score))
+        self.node_scores[known], self.node_ranks[known] = list(self.score.values()), list(self.rank.values())
 
     def forward(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, list[tuple[float, int, int, int]]]]:
         """(piece, by depth: best score, minus its tokens, minus where its last token begins, that token's node) in sorted order.
@@ -94,21 +202,54 @@ class UnigramTrie:
             before = piece
             yield piece, best
 
-    def counts(self, pieces: Iterable[bytes]) -> dict[bytes, int]:
-        """Tokens of the best segmentation of each piece; 0 for one that the vocabulary can't spell."""
-        return {piece: -best[-1][1] if best[-1][0] > -math.inf else 0 for piece, best in self.forward(pieces)}
+    @staticmethod
+    def _parted(pieces: pa.Array) -> tuple[np.ndarray, pa.Array, dict[bytes, int]]:
+        """(places of the shorter pieces in sorted order, those pieces, places of the longer ones)."""
+        pieces = pieces.cast(pa.binary())
+        longer = pc.greater(pc.binary_length(pieces), LEVELS).to_numpy(zero_copy_only=False)
+        order, rest = pc.array_sort_indices(pieces).to_numpy(), np.flatnonzero(longer)
+        order = order[~longer[order]]
+        return order, pieces.take(pa.array(order)), dict(zip(pieces.take(pa.array(rest)).to_pylist(), rest.tolist()))
+
+    def sizes(self, pieces: pa.Array) -> np.ndarray:
+        """Tokens of the best segmentation of each of distinct pieces; 0 for one that the vocabulary can't spell."""
+        order, short, longer = self._parted(pieces)
+        out, levels = np.zeros(len(pieces), np.int64), Levels(self, short)
+        out[order] = np.where(levels.score[levels.ends] > -math.inf, levels.size[levels.ends], 0)
+        for piece, best in self.forward(longer):
+            out[longer[piece]] = -best[-1][1] if best[-1][0] > -math.inf else 0
+        return out
 
-    def usage(self, pieces: dict[bytes, int]) -> Counter:
-        """Tokens (by rank) of the best segmentations of pieces, each with its piece's weight."""
-        out: Counter = Counter()
-        for piece, best in self.forward(pieces):
-            at, weight = len(piece), pieces[piece]
+    def uses(self, pieces: pa.Array, weights: np.ndarray) -> Counter:
+        """Tokens (by rank) of the best segmentations of distinct pieces, each with its piece's weight."""
+        order, short, longer = self._parted(pieces)
+        levels = Levels(self, short)
+        flow, used = np.zeros(len(levels.score), np.int64), np.zeros(len(self.node_ranks), np.int64)
+        flow[levels.ends] = weights[order]
+        flow[levels.score == -math.inf] = 0
+        for low, high in reversed(list(zip(levels.bounds[1:], levels.bounds[2:]))):
+            nodes = low + np.flatnonzero(flow[low:high])
+            np.add.at(used, levels.token[nodes], flow[nodes])
+            np.add.at(flow, levels.back[nodes], flow[nodes])
+        nodes = np.flatnonzero(used)
+        out = Counter(dict(zip(self.node_ranks[nodes].tolist(), used[nodes].tolist())))
+        for piece, best in self.forward(longer):
+            at, weight = len(piece), int(weights[longer[piece]])
             while at and best[at][0] > -math.inf:
                 _, _, start, node = best[at]
                 out[self.rank[node]] += weight
                 at = -start
         return out
 
+    def counts(self, pieces: Iterable[bytes]) -> dict[bytes, int]:
+        """``sizes`` by piece."""
+        names = list(set(pieces))
+        return dict(zip(names, self.sizes(pa.array(names, pa.binary())).tolist()))
+
+    def usage(self, pieces: dict[bytes, int]) -> Counter:
+        """``uses`` of pieces with their weights."""
+        return self.uses(pa.array(list(pieces), pa.binary()), np.array(list(pieces.values()), np.int64))
+
 
 class SpacedTexts:
     """Cuts texts at spaces where a match of the pattern always begins.
@@ -141,21 +282,92 @@ class SpacedTexts:
         while part := [m.group() for m in islice(found, 100_000)]:
             yield part
 
+    def parts(self, texts: pa.Array) -> tuple[list[tuple[pa.Array, np.ndarray, np.ndarray]], list[str]]:
+        """``cut`` of many texts: (groups of distinct chunks, which of them stands at each place, that place's text; what comes first)."""
+        if not self.seams:
+            return [], texts.to_pylist()
+        whole = pc.greater(pc.utf8_length(texts), self.AT_ONCE)
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        begins = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        distinct, which = coded.dictionary, coded.indices.to_numpy()
+        trimmed = pc.binary_length(pc.utf8_trim_whitespace(distinct)).to_numpy()
+        bad = (trimmed == 0) | (trimmed < pc.binary_length(distinct).to_numpy())
+        other = np.logical_or.reduceat(bad[which], begins[:-1]) | whole.to_numpy(zero_copy_only=False)  # some space may be no seam
+        firsts = distinct.take(pa.array(which[begins[:-1]])).to_pylist()
+        text = np.repeat(np.arange(len(texts)), np.diff(begins))
+        inner = ~other[text]
+        inner[begins[:-1]] = False
+        groups = [(distinct, which[inner], text[inner])]
+        if other.any():
+            places = np.flatnonzero(other)
+            parted = self.cut(texts.take(pa.array(places)).to_pylist())[1]
+            for k, (_, first) in zip(places.tolist(), parted):
+                firsts[k] = first
+            coded = pa.array(chain.from_iterable(chunks for chunks, _ in parted), pa.string()).dictionary_encode()
+            groups.append((coded.dictionary, coded.indices.to_numpy(), np.repeat(places, [len(chunks) for chunks, _ in parted])))
+        return groups, firsts
+
+    def pieces(self, chunks: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+        """(begin, end, pre-tokens of those chunks with a space before each, the chunk - from ``begin`` on - of each)."""
+        find = self.pattern.findall
+        at = 0
+        for part in slices(chunks, CHUNKS):
+            names = part.to_pylist()
+            found = pa.array(find(" " + " ".join(names)), pa.string())
+            begins = pc.starts_with(found, " ").to_numpy(zero_copy_only=False)
+            owner = np.cumsum(begins) - 1
+            if owner[-1] != len(names) - 1:  # some chunk has spaces of its own
+                each = [find(f" {c}") for c in names]
+                found, owner = pa.array(chain.from_iterable(each), pa.string()), np.repeat(np.arange(len(names)), [len(x) for x in each])
+            yield at, at + len(names), found, owner
+            at += len(names)
+
+
+def slices(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """Neighbouring texts, ``most`` of them and of up to ``TEXT_BYTES`` bytes, or one; null as empty."""
+    texts = pc.fill_null(texts, "")
+    stops = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(stops, TEXT_BYTES + (stops[at - 1] if at else 0), "right")))
+        end = min(end, at + most) if most else end
+        yield texts.slice(at, end - at).cast(pa.string())
+        at = end
+
+
+def _summed(groups: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values of all groups with the sums of their numbers."""
+    coded = pa.concat_arrays([pa.array([], pa.string()), *(values for values, _ in groups)]).dictionary_encode()
+    out = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(out, coded.indices.to_numpy(), np.concatenate([np.zeros(0, np.int64), *(n for _, n in groups)]))
+    return coded.dictionary, out
+
+
+def piece_table(texts: SpacedTexts, batch: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct pre-tokens of texts with their number; each distinct chunk is split once."""
+    chunks, found = [], []
+    for part in slices(batch):
+        groups, firsts = texts.parts(part)
+        for distinct, which, _ in groups:
+            n = np.bincount(which, minlength=len(distinct))
+            used = np.flatnonzero(n)
+            chunks.append((distinct.take(pa.array(used)), n[used]))
+        own: Counter = Counter()
+        for first in firsts:
+            for some in texts.matches(first):
+                own.update(some)
+        found.append((pa.array(list(own), pa.string()), np.array(list(own.values()), np.int64)))
+    distinct, n = _summed(chunks)
+    for begin, end, pieces, owner in texts.pieces(distinct):
+        found.append(_summed([(pieces, n[begin:end][owner])]))
+    return _summed(found)
+
 
 def piece_sums(texts: SpacedTexts, batch: list[str]) -> Counter:
-    """Pre-tokens of texts with their number; each distinct chunk is split once."""
-    chunks: Counter = Counter()
-    out: Counter = Counter()
-    for at in range(0, len(batch), TEXTS):
-        for inner, first in texts.cut(batch[at : at + TEXTS])[1]:
-            chunks.update(inner)
-            for part in texts.matches(first):
-                out.update(part)
-    find = texts.pattern.findall
-    for c, n in chunks.items():
-        for p in find(f" {c}"):
-            out[p] += n
-    return out
+    """``piece_table`` of a list."""
+    pieces, n = piece_table(texts, pa.array(batch, pa.string()))
+    return Counter(dict(zip(pieces.to_pylist(), n.tolist())))
 
 
 class TextCounter:
@@ -163,38 +375,69 @@ class TextCounter:
 
     def __init__(self, ranks: dict[bytes, int], scores: dict[int, float], pattern: str):
         self.trie, self.texts = UnigramTrie(ranks, scores), SpacedTexts(pattern)
-        self.pieces: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
-
-    def learn(self, pieces: set[str]) -> None:
-        new = {p: p.encode("utf-8") for p in pieces if p not in self.pieces}
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces.clear()
-            new = {p: p.encode("utf-8") for p in pieces}
-        found = self.trie.counts(new.values())
-        self.pieces.update((p, 1 << 32 | found[b]) for p, b in new.items())
-
-    def whole(self, text: str) -> int:
-        """Packed counts of a text, matched from end to end."""
-        total = 0
-        for part in self.texts.matches(text):
-            self.learn(set(part))
-            total += sum(map(self.pieces.__getitem__, part))
-        return total
-
-    def _learn_chunks(self, new: set[str]) -> None:
-        split = {c: self.texts.pattern.findall(f" {c}") for c in new}
-        self.learn({p for s in split.values() for p in s})
-        for c, s in split.items():
-            self.chunks[c] = sum(map(self.pieces.__getitem__, s))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks, self.known = pa.array([], pa.string()), np.zeros(0, np.int64)
+
+    def _packed(self, pieces: pa.Array) -> np.ndarray:
+        """1 << 32 | tokens of each of pre-tokens."""
+        coded = pieces.dictionary_encode()
+        return (1 << 32 | self.trie.sizes(coded.dictionary))[coded.indices.to_numpy()]
+
+    def _whole(self, texts: list[str]) -> np.ndarray:
+        """Packed counts of texts, matched from end to end."""
+        out, some, owner = np.zeros(len(texts), np.int64), [], []
+
+        def add() -> None:
+            np.add.at(out, owner, self._packed(pa.array(some, pa.string())))
+            some.clear()
+            owner.clear()
+
+        for k, text in enumerate(texts):
+            for part in self.texts.matches(text):
+                some += part
+                owner += [k] * len(part)
+                if len(some) >= CHUNKS:
+                    add()
+        if some:
+            add()
+        return out
+
+    def _chunks(self, chunks: pa.Array) -> np.ndarray:
+        """Packed counts of distinct chunks, remembered up to ``CACHE_PIECES``."""
+        place = pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy()
+        new = np.flatnonzero(place < 0)
+        out = np.zeros(len(chunks), np.int64)
+        if len(self.known):
+            out = self.known[place]
+        if len(new):
+            names, found = chunks.take(pa.array(new)), np.zeros(len(new), np.int64)
+            for begin, end, pieces, owner in self.texts.pieces(names):
+                np.add.at(found[begin:end], owner, self._packed(pieces))
+            out[new] = found
+            if len(self.chunks) + len(names) > CACHE_PIECES:
+                self._forget()
+            self.chunks = pa.concat_arrays([self.chunks, names.slice(0, CACHE_PIECES)])
+            self.known = np.concatenate([self.known, found[:CACHE_PIECES]])
+        return out
+
+    def packed(self, texts: pa.Array) -> np.ndarray:
+        """pre-tokens << 32 | tokens of each text."""
+        out = []
+        for part in slices(texts):
+            groups, firsts = self.texts.parts(part)
+            totals = self._whole(firsts)
+            for distinct, which, text in groups:
+                values, used = np.zeros(len(distinct), np.int64), np.flatnonzero(np.bincount(which, minlength=len(distinct)))
+                values[used] = self._chunks(distinct.take(pa.array(used)))
+                sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(values[which])])
+                totals += np.diff(sums[np.searchsorted(text, np.arange(len(part) + 1))])
+            out.append(totals)
+        return np.concatenate([np.zeros(0, np.int64), *out])
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
-        distinct, parted = self.texts.cut(texts)
-        if len(self.chunks) > CACHE_PIECES:
-            self.chunks.clear()
-        self._learn_chunks(distinct.difference(self.chunks))
-        totals = [sum(map(self.chunks.__getitem__, inner)) + self.whole(first) for inner, first in parted]
-        return [(n >> 32, n & 0xFFFFFFFF) for n in totals]
+        return [(n >> 32, n & 0xFFFFFFFF) for n in self.packed(pa.array(texts, pa.string())).tolist()]
 
 
 def piece_counts(docs: DataFrame, text: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -204,8 +447,8 @@ def piece_counts(docs: DataFrame, text: str = "text", pattern: str = public_toke
         spaced = SpacedTexts(pattern)
 
         def work(batch: pa.RecordBatch) -> dict:
-            found = piece_sums(spaced, [x for x in batch.column(0).to_pylist() if x])
-            return {"piece": list(found), "n": list(found.values())}
+            piece, n = piece_table(spaced, batch.column(0))
+            return {"piece": piece, "n": n}
 
         return work
 
@@ -257,8 +500,7 @@ def learn_scores(docs: DataFrame, text: str = "text", rank_file: str = RANK_FILE
             trie = _kept(_tries, hashlib.sha256(b"".join(shared.value)).digest(), lambda: UnigramTrie(*_unpacked(shared.value)))
             total: Counter = Counter()
             for batch in batches:
-                names, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                total.update(trie.usage({x.encode("utf-8"): k for x, k in zip(names, n)}))
+                total.update(trie.uses(batch.column(0), batch.column(1).to_numpy()))
             yield pa.RecordBatch.from_pydict({"token": pa.array(list(total), pa.int32()), "n": pa.array(list(total.values()), pa.int64())})
 
         got = pieces.mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # a row a token at most
@@ -285,9 +527,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ra
         counter = _kept(_workers, key, lambda: TextCounter(*_unpacked(shared.value), pattern))
 
         def work(batch: pa.RecordBatch) -> dict:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            found = [n for at in range(0, len(texts), TEXTS) for n in counter.count(texts[at : at + TEXTS])]
-            return {"id": batch.column(0), "a": [n[0] for n in found], "b": [n[1] for n in found]}
+            found = counter.packed(batch.column(1))
+            return {"id": batch.column(0), "a": found >> 32, "b": found & 0xFFFFFFFF}
 
         return work
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -106,3 +107,49 @@ def test_pieces_that_the_vocabulary_cant_spell(docs, tmp_path):
 def test_ties_take_fewer_tokens(scores, tokens):
     ranks = {b"a": 0, b"aa": 1, b" ": 2}
     assert tc.UnigramTrie(ranks, scores).counts([b"aaaa"]) == {b"aaaa": tokens}
+
+
+def test_levels_are_the_walk_for_any_piece():
+    rng = random.Random(2)
+    ranks = {b"a": 0, b"aa": 1, b"ab": 2, b"b": 3, b"\x00": 4, b"ba": 5, b"abab": 6, b"\x00a": 7}
+    trie = tc.UnigramTrie(ranks, {r: -rng.choice([1.0, 2.0, 3.0]) for r in ranks.values()})
+    sizes = [*range(12), tc.LEVELS - 1, tc.LEVELS, tc.LEVELS + 1, 300]
+    pieces = {bytes(rng.choices(b"ab\x00c", (9, 9, 3, 0.3), k=rng.choice(sizes))): rng.randint(1, 9) for _ in range(2_000)}
+    walked = {piece: list(best) for piece, best in trie.forward(pieces)}
+    assert trie.counts(pieces) == {p: -b[-1][1] if b[-1][0] > -math.inf else 0 for p, b in walked.items()}
+    expected = Counter()
+    for piece, best in walked.items():
+        at = len(piece)
+        while at and best[at][0] > -math.inf:
+            expected[trie.rank[best[at][3]]] += pieces[piece]
+            at = -best[at][2]
+    assert trie.usage(pieces) == expected
+    long = {p: n for p, n in pieces.items() if len(p) > tc.LEVELS}
+    assert trie.counts(long) == {p: n for p, n in trie.counts(pieces).items() if p in long} and trie.counts([]) == {} and trie.usage({}) == Counter()
+
+
+@pytest.mark.parametrize("text_bytes, chunks, longest", [(8 << 20, 100_000, 1 << 22), (40, 3, 1 << 22), (40, 3, 20)])
+def test_slices_of_many_texts(monkeypatch, text_bytes, chunks, longest):
+    monkeypatch.setattr(tc, "TEXT_BYTES", text_bytes)
+    monkeypatch.setattr(tc, "CHUNKS", chunks)
+    monkeypatch.setattr(tc.SpacedTexts, "AT_ONCE", longest)
+    rng = random.Random(3)
+    parts = ["one", "two's", "é", "12.", "'", " ", " ", " ", " ", "  ", "\n", "\x1c", "\x85", "\u3000", "\x00", "漢字"]
+    texts = ["", None, " ", *("".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(400)), "one two " * 30]
+    own, found = tc.TextCounter(RANKS, ZIPF, public_tokenizers.PATTERN), [PATTERN.findall(t or "") for t in texts]
+    sizes = {p: len(segmented(p.encode())) for some in found for p in some}
+    for _ in range(2):
+        assert own.count(texts) == [(len(some), sum(map(sizes.__getitem__, some))) for some in found]
+    assert tc.piece_sums(own.texts, texts) == Counter(p for some in found for p in some)
+
+
+def test_a_batch_of_pieces_costs_less_than_its_walk():
+    rng = random.Random(4)
+    pieces = [("".join(rng.choices(["th", "er", "on", "tion", "é", "qu", "en", "x"], k=5))).encode() for _ in range(20_000)]
+
+    def seconds(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    assert min(seconds(lambda: COUNTER.trie.counts(pieces)) for _ in range(3)) < 0.7 * min(seconds(lambda: sum(1 for _ in COUNTER.trie.forward(pieces))) for _ in range(3))
